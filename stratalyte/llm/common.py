@@ -57,3 +57,11 @@ def ragged(lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) - np.repeat(ends - lengths, lengths)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or with underscores before it until `df` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

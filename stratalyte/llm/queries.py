@@ -5,17 +5,57 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .linededup import dedup_lines
 from .quality import quality
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_removed")
+    return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_linededup": op2_linededup,
     "op8_quality": op8_quality,
 }
 
-ORACLES: dict[str, str] = {}
+_OP2 = r"""
+with lines as (
+  select doc_id, li, line, length(line) - length(replace(line, ' ', '')) + 1 >= 50 as lng
+  from (select doc_id, generate_subscripts(l, 1) as li, unnest(l) as line
+        from (select doc_id, list_filter(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), lambda x: x <> '') as l from documents)) q),
+units as (
+  select doc_id, li, lng, generate_subscripts(p, 1) as ui, unnest(p) as u
+  from (select doc_id, li, lng, case when lng then list_filter(string_split_regex(regexp_replace(line, '([.!?]) ', '\1 ' || chr(1), 'g'), chr(1)), lambda x: x <> '') else [line] end as p from lines) q),
+hashed as (
+  select *, ('0x' || substr(md5(u), 1, 8))::bigint as h, row_number() over (partition by doc_id order by li, ui) as i from units),
+hardened as (
+  select *, coalesce(i = 1 or (ui = 1 and (lng or lag(lng) over w)), true) as hard,
+         (lag(h, 1) over w * 31 + lag(h, 2) over w * 7) % 4 = 0 as rolled
+  from hashed window w as (partition by doc_id order by i)),
+cands as (
+  select *, coalesce(rolled and not hard and not lag(hard) over w and not lead(hard) over w, false) as cand
+  from hardened window w as (partition by doc_id order by i)),
+starts as (
+  select *, hard or (cand and not coalesce(lag(cand) over w, false)) as s from cands window w as (partition by doc_id order by i)),
+numbered as (select *, sum(s::int) over (partition by doc_id order by i) as k from starts),
+chunks as (select doc_id, k, string_agg(u, '' order by i) as t, count(*) as n from numbered group by doc_id, k),
+eligible as (
+  select doc_id, k, t from chunks where n >= 2 or length(t) - length(replace(t, ' ', '')) + 1 >= 50),
+ranked as (
+  select doc_id, k, row_number() over (partition by t order by doc_id, k) as r from eligible),
+kept as (
+  select c.doc_id, coalesce(string_agg(case when coalesce(r.r, 1) = 1 then c.t end, '' order by c.k), '') as t, count(*) filter (where r.r > 1) as n
+  from chunks c left join ranked r on r.doc_id = c.doc_id and r.k = c.k group by c.doc_id)
+select d.doc_id, coalesce(k.n, 0)::bigint as n_removed, length(coalesce(k.t, d.text))::bigint as kept_chars, md5(coalesce(k.t, d.text)) as kept_md5
+from documents d left join kept k on k.doc_id = d.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op2_linededup": _OP2}
