@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .linededup import dedup_lines
 from .quality import quality
+from .simhash import near_duplicates
 
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +22,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_linededup": op2_linededup,
     "op8_quality": op8_quality,
+    "op9_simhash": op9_simhash,
 }
 
 _OP2 = r"""
