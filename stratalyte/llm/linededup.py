@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, materialise
 
 LONG_WORDS = 50
 RESIDUES = 4
@@ -31,7 +31,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _n_words(c: Column) -> Column:
-    return F.length(c) - F.length(F.translate(c, " ", "")) + 1
+    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit(""))) + 1
 
 
 def _full(parts: Column) -> Column:
@@ -43,17 +43,18 @@ def _units(text: Column, long_words: int) -> Column:
     lines = _full(F.split(text, r"(?<=\n)", -1))
 
     def of_line(line: Column) -> Column:
-        is_long = _n_words(line) >= long_words
-        pieces = F.when(is_long, _full(F.split(line, r"(?<=[.!?] )", -1))).otherwise(F.array(line))
-        return F.transform(
-            pieces,
-            lambda u, i: F.struct(
-                u.alias("u"),
-                F.conv(F.substring(F.md5(u.cast("binary")), 1, 8), 16, 10).cast("long").alias("h"),
-                is_long.alias("long"),
-                (i == 0).alias("first"),
-            ),
-        )
+        def pieces(is_long: Column) -> Column:
+            return F.transform(
+                F.when(is_long, _full(F.split(line, r"(?<=[.!?] )", -1))).otherwise(F.array(line)),
+                lambda u, i: F.struct(
+                    u.alias("u"),
+                    F.conv(F.substring(F.md5(u.cast("binary")), 1, 8), 16, 10).cast("long").alias("h"),
+                    is_long.alias("long"),
+                    (i == 0).alias("first"),
+                ),
+            )
+
+        return let(_n_words(line) >= long_words, pieces)
 
     marked = F.flatten(F.transform(lines, of_line))
 
@@ -118,6 +119,7 @@ def dedup_lines(docs: DataFrame, *, long_words: int = LONG_WORDS, residues: int
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     pieces = rows.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.explode(_flagged(F.col("text"), long_words, residues)).alias("c"))
     pieces = pieces.select("d", "t", F.col("c.k").alias("k"), F.col("c.s").alias("s"), F.col("c.h").alias("h"), F.xxhash64(F.lit("second"), "c.s").alias("g"), F.col("c.first").alias("first"))
+    pieces = materialise(pieces, "chunks")
     # Bytes are compared here: chunks count as one only where the strings are equal. A key of two strings removes nothing.
     texts = pieces.groupBy("h", "g", "s").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("owner"))
     repeated = texts.groupBy("h", "g").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("n"), F.min("owner").alias("owner"))
