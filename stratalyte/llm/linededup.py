@@ -119,12 +119,12 @@ def dedup_lines(docs: DataFrame, *, long_words: int = LONG_WORDS, residues: int
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     pieces = rows.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.explode(_flagged(F.col("text"), long_words, residues)).alias("c"))
     pieces = pieces.select("d", "t", F.col("c.k").alias("k"), F.col("c.s").alias("s"), F.col("c.h").alias("h"), F.xxhash64(F.lit("second"), "c.s").alias("g"), F.col("c.first").alias("first"))
-    pieces = materialise(pieces, "chunks")
+    keys = materialise(pieces.drop("s"), "chunk-keys")
     # Bytes are compared here: chunks count as one only where the strings are equal. A key of two strings removes nothing.
     texts = pieces.groupBy("h", "g", "s").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("owner"))
     repeated = texts.groupBy("h", "g").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("n"), F.min("owner").alias("owner"))
     repeated = repeated.where("kinds = 1 and n > 1").select("h", "g", "owner")
-    gone = pieces.select("d", "t", "k", "h", "g", "first").join(repeated, ["h", "g"]).where("d <> owner or not first")
+    gone = keys.join(repeated, ["h", "g"]).where("d <> owner or not first")
     marks = gone.groupBy("d", "t").agg(F.collect_set("k").alias("gone"))
 
     t, d2, t2, ks = (fresh(docs, x) for x in ("_text_hash", "_marked_doc", "_marked_hash", "_gone"))

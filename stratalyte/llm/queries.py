@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import find_leaks
 from .linededup import dedup_lines
+from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
 
@@ -32,11 +33,16 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_linededup": op2_linededup,
     "op4_decontaminate": op4_decontaminate,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
 
 _OP2 = r"""
