@@ -15,6 +15,8 @@ import numpy as np
 from .common import ragged
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_MARK = "|"
+_ENDS = {".": 1, ",": 2}
 _SPACE = re.compile("[\t-\r ]+")
 _KEPT: dict = {}
 
@@ -26,35 +28,87 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids[0]
+        self.end_ids = np.array([0, *(self.tokenizer.encode(x, add_special_tokens=False).ids[0] for x in _ENDS)], np.int32)
         self.most = most
         self._clear()
 
     def _clear(self) -> None:
         self.ids: dict[str, int] = {}
+        self.base: dict[str, int] = {}
         self.start, self.length, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
 
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks and how many each has. Chunks go through the library together, with a mark between them."""
+        odd = [i for i, x in enumerate(chunks) if _MARK in x]
+        plain = [_MARK if _MARK in x else x for x in chunks] if odd else chunks
+        ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(plain) + f" {_MARK}", add_special_tokens=False).ids, np.int32)
+        if odd:
+            # A chunk with the mark in it stands for itself as a mark here; its own ids come from a call of their own.
+            ends = np.flatnonzero(ids == self.mark)
+            own = {i: np.array(self.tokenizer.encode(chunks[i], add_special_tokens=False).ids, np.int32) for i in odd}
+            parts, at, k = [], 0, 0
+            for i in range(len(chunks)):
+                if i in own:
+                    parts.append(own[i])
+                    k += 1
+                else:
+                    parts.append(ids[at : ends[k]])
+                at = ends[k] + 1
+                k += 1
+            return np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
+        ends = np.flatnonzero(ids == self.mark)
+        n = np.diff(ends, prepend=-1) - 1
+        return ids[ids != self.mark], n
+
+    def _append(self, new: np.ndarray, n: np.ndarray) -> range:
+        """Entries for runs of ids of the lengths n."""
+        while self.n + len(n) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.start[self.n : self.n + len(n)] = self.used + np.cumsum(n) - n
+        self.length[self.n : self.n + len(n)] = n
+        self.flat[self.used : self.used + len(new)] = new
+        self.n += len(n)
+        self.used += len(new)
+        return range(self.n - len(n), self.n)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.length[at]
+        return self.flat[np.repeat(self.start[at], n) + ragged(n)], n
+
     def _learn(self, chunks: list[str]) -> None:
-        for lo in range(0, len(chunks), 20_000):
-            part = chunks[lo : lo + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            n = np.array(list(map(len, ids)), np.int64)
-            new = np.fromiter((x for y in ids for x in y), np.int32, int(n.sum()))
-            while self.n + len(part) > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            while self.used + len(new) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.start[self.n : self.n + len(part)] = self.used + np.cumsum(n) - n
-            self.length[self.n : self.n + len(part)] = n
-            self.flat[self.used : self.used + len(new)] = new
-            self.ids.update(zip(part, range(self.n, self.n + len(part))))
-            self.n += len(part)
-            self.used += len(new)
+        """A Latin word is looked up by its lower-case form, without a full stop or comma after it: the vocabulary
+        lower-cases, and splits letters from marks."""
+        keys, ends = [], []
+        for c in chunks:
+            e = _ENDS.get(c[-1], 0)
+            body = c[:-1] if e else c
+            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
+                keys.append(body.lower())
+                ends.append(e)
+            else:
+                keys.append(c)
+                ends.append(0)
+        new = [k for k in dict.fromkeys(keys) if k not in self.base]
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
+            self.base.update(zip(part, self._append(*self._ids(part))))
+        at = np.array([self.base[k] for k in keys], np.int64)
+        end = np.array(ends)
+        if (more := np.flatnonzero(end)).size:
+            ids, n = self._gather(at[more])
+            ids = np.insert(ids, np.cumsum(n), self.end_ids[end[more]])
+            made = self._append(ids, n + 1)
+            at[more] = np.arange(made.start, made.stop)
+        self.ids.update(zip(chunks, at.tolist()))
 
     def encode(self, text: str | None) -> np.ndarray:
         text = text or ""
@@ -63,13 +117,12 @@ class ChunkEncoder:
             return np.zeros(0, np.int32)
         at = np.fromiter(map(self.ids.get, chunks, repeat(0)), np.int64, len(chunks))
         if (miss := np.flatnonzero(at == 0)).size:
-            if self.n > self.most:
+            if len(self.ids) > self.most:
                 self._clear()
                 miss = np.arange(len(chunks))
             self._learn(list(dict.fromkeys(chunks[i] for i in miss.tolist())))
             at[miss] = [self.ids[chunks[i]] for i in miss.tolist()]
-        n = self.length[at]
-        return self.flat[np.repeat(self.start[at], n) + ragged(n)]
+        return self._gather(at)[0]
 
 
 def encoder(path: str) -> ChunkEncoder:
