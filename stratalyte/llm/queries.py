@@ -13,6 +13,11 @@ from .linededup import dedup_lines
 from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
+from .tokenfile import roundtrip
+
+
+def op1_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roundtrip(table(spark, sf_dir, "documents"))
 
 
 def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +43,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tokenfile": op1_tokenfile,
     "op2_linededup": op2_linededup,
     "op4_decontaminate": op4_decontaminate,
     "op8_quality": op8_quality,
