@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lm
 from .common import table
 from .decontaminate import find_leaks
 from .linededup import dedup_lines
@@ -29,6 +30,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokenfile": op1_tokenfile,
     "op2_linededup": op2_linededup,
     "op4_decontaminate": op4_decontaminate,
+    "op6_lm": op6_lm,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
