@@ -15,6 +15,7 @@ from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
 from .tokenfile import roundtrip
+from .vptree import nearest, usable
 
 
 def op1_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return nearest(base, base.where("id % 50 = 0"), k=5)
+
+
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokenfile": op1_tokenfile,
     "op2_linededup": op2_linededup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_neighbours": op5_neighbours,
     "op6_lm": op6_lm,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
@@ -89,4 +96,16 @@ select d.doc_id, coalesce(k.n, 0)::bigint as n_removed, length(coalesce(k.t, d.t
 from documents d left join kept k on k.doc_id = d.doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_linededup": _OP2}
+_OP5 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (
+  select q.vec_id as query_id, c.vec_id, list_cosine_similarity(q.e, c.e) as score
+  from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op2_linededup": _OP2, "op5_neighbours": _OP5}
