@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from . import lm
 from .common import table
 from .decontaminate import find_leaks
+from .langid import identify
 from .linededup import dedup_lines
 from .packing import pack
 from .quality import quality
 from .simhash import near_duplicates
 from .tokenfile import roundtrip
+from .urlfilter import judge
 from .vptree import nearest, usable
 
 
@@ -27,6 +29,14 @@ def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op3_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled URLs: those whose path ends in the number of a labelled document; blocked if it is poor or toxic."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    numbered = pages.select("url", F.regexp_extract("url", r"://[^/?#]+/[a-z]+/(\d{1,18})", 1).alias("n")).where("n <> ''").select("url", F.col("n").cast("long").alias("doc_id"))
+    labelled = numbered.join(labels.select("doc_id", "quality", "toxic"), "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("blocked"))
+    return judge(pages, labelled)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +50,10 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,9 +70,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tokenfile": op1_tokenfile,
     "op2_linededup": op2_linededup,
+    "op3_urlfilter": op3_urlfilter,
     "op4_decontaminate": op4_decontaminate,
     "op5_neighbours": op5_neighbours,
     "op6_lm": op6_lm,
+    "op7_language": op7_language,
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
