@@ -63,6 +63,35 @@ def profile(text: str | None) -> dict:
 SCHEMA = "n long, hist array<long>, same long, sum long, sumsq long, lagged long, first int, last int, cond double, block_var double, words long"
 
 
+def repeats(text: str | None) -> tuple[int, int, int]:
+    """Positions whose four bytes come again four or more places later; every fourth position whose four bytes come
+    again at such a position; positions whose two bytes come again two or more places later."""
+    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+
+    def later(gram: np.ndarray, gap: int) -> int:
+        if not len(gram):
+            return 0
+        back = np.unique(gram, return_inverse=True)[1]
+        last = np.zeros(back.max() + 1, np.int64)
+        last[back] = np.arange(len(gram))  # the last write wins
+        return int((last[back] - np.arange(len(gram)) >= gap).sum())
+
+    four = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:] if len(b) > 3 else b[:0]
+    return later(four, 4), later(four[::4], 1), later(b[:-1] << 8 | b[1:], 2)
+
+
+def repeat_profile(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, again4, blocks4, again2 as `repeats` counts them."""
+    names = [key, "again4", "blocks4", "again2"]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [repeats(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names)
+
+    return df.select(key, text).mapInArrow(of, f"{key} {df.schema[key].dataType.simpleString()}, again4 long, blocks4 long, again2 long")
+
+
 def byte_profile(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`key` and the columns of SCHEMA, a row for each row of df."""
     names = [x.split()[0] for x in SCHEMA.split(", ")]
