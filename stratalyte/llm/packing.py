@@ -153,8 +153,8 @@ def cut(docs: DataFrame, *, length: int, end_id: int, tokenizer: str | None = No
         enc = encoder(path)
         for b in batches:
             rows: list[tuple] = []
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = np.append(enc.encode(t.as_py()), np.int32(end_id)).astype("<u4")
+            for d, own in zip(b.column("doc_id").to_pylist(), enc.encode_many(t.as_py() for t in b.column("text"))):
+                ids = np.append(own, np.int32(end_id)).astype("<u4")
                 for lo in range(0, len(ids), length):
                     piece = ids[lo : lo + length]
                     rows.append((d, lo, len(piece), zlib.crc32(piece.tobytes()), len(ids)) + ((piece.astype(np.int32),) if with_ids else ()))

@@ -269,8 +269,8 @@ def write_tokens(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(counts.sum())], pa.int64()), pa.array([record], pa.binary())], ["part", "seq", "n_ids", "record"])
 
         for b in batches:
-            for part, d, t in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")):  # noqa: B007
-                ids = np.append(enc.encode(t.as_py()), np.int32(end_id))
+            for part, d, own in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), enc.encode_many(t.as_py() for t in b.column("text"))):  # noqa: B007
+                ids = np.append(own, np.int32(end_id))
                 docs_.append(d)
                 held.append(ids)
                 total += len(ids)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -28,7 +29,7 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -110,19 +111,37 @@ class ChunkEncoder:
             at[more] = np.arange(made.start, made.stop)
         self.ids.update(zip(chunks, at.tolist()))
 
-    def encode(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        chunks = [x for x in _SPACE.split(text) if x] if _SEPARATORS.search(text) else text.split()
-        if not chunks:
-            return np.zeros(0, np.int32)
+    def encode_many(self, texts: Iterable[str | None], group_chars: int = 2_000_000) -> Iterator[np.ndarray]:
+        """Ids of each text, in order. Texts are looked up in groups of about `group_chars` characters."""
+        chunks: list[str] = []
+        sizes: list[int] = []
+        held = 0
+        for text in texts:
+            text = text or ""
+            own = [x for x in _SPACE.split(text) if x] if _SEPARATORS.search(text) else text.split()
+            chunks += own
+            sizes.append(len(own))
+            held += len(text)
+            if held >= group_chars:
+                yield from self._look_up(chunks, sizes)
+                chunks, sizes, held = [], [], 0
+        yield from self._look_up(chunks, sizes)
+
+    def _look_up(self, chunks: list[str], sizes: list[int]) -> Iterator[np.ndarray]:
+        if len(self.ids) > self.most:
+            self._clear()
         at = np.fromiter(map(self.ids.get, chunks, repeat(0)), np.int64, len(chunks))
         if (miss := np.flatnonzero(at == 0)).size:
-            if len(self.ids) > self.most:
-                self._clear()
-                miss = np.arange(len(chunks))
-            self._learn(list(dict.fromkeys(chunks[i] for i in miss.tolist())))
-            at[miss] = [self.ids[chunks[i]] for i in miss.tolist()]
-        return self._gather(at)[0]
+            missing = [chunks[i] for i in miss.tolist()]
+            self._learn(list(dict.fromkeys(missing)))
+            at[miss] = np.fromiter(map(self.ids.__getitem__, missing), np.int64, len(missing))
+        ids, n = self._gather(at)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])].tolist()
+        for lo, hi in zip(ends, ends[1:]):
+            yield ids[lo:hi]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return next(self.encode_many([text]))
 
 
 def encoder(path: str) -> ChunkEncoder:
