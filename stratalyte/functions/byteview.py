@@ -136,3 +136,15 @@ hist as (select doc_id, b, count(*) as c from bytes group by doc_id, b),
 totals as (select doc_id, sum(c)::bigint as n, count(*)::bigint as uniq, sum(b = 0 and c > 0)::bigint as zeros from hist group by doc_id),
 ent as (select doc_id, -sum(c / n * log2(c / n)) as h from hist join totals using (doc_id) group by doc_id)
 """
+
+
+def map_bytes(df: DataFrame, key: str, text: str, fn, fields: dict[str, str]) -> DataFrame:
+    """key and `fields` (name to SQL type): what fn(bytes as an array) gives for each whole text, a tuple."""
+    kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "string": pa.string(), "boolean": pa.bool_()}
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [fn(np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(fields.values()))], [key, *fields])
+
+    return df.select(key, text).mapInArrow(of, f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in fields.items()))
