@@ -93,7 +93,8 @@ class Container:
         meta = self.metadata().select((_digest() == F.col("digest")).alias("m"), "size", "chunks")
         data = self.chunks().agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("c"), F.coalesce(F.bool_and(F.sha2("content", 256) == F.col("digest")), F.lit(True)).alias("d"))
         both = meta.join(F.broadcast(data))
-        return both.select(F.inline(F.array(F.struct(F.lit("metadata").alias("level"), F.col("m").alias("ok")), F.struct(F.lit("sizes"), (F.col("size") == F.col("s")) & (F.col("chunks") == F.col("c"))), F.struct(F.lit("data"), F.col("d")))))
+        levels = {"metadata": F.col("m"), "sizes": (F.col("size") == F.col("s")) & (F.col("chunks") == F.col("c")), "data": F.col("d")}
+        return both.select(F.inline(F.array(*(F.struct(F.lit(k).alias("level"), v.alias("ok")) for k, v in levels.items()))))
 
     def set_field(self, key: str, value: str) -> None:
         fields = self.metadata().first()["fields"] or {}
