@@ -57,21 +57,32 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), count
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, rounds: int = 2000, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
-    """Patterns and fractional counts of a cover of the demand, within the share `gap` of the least."""
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, rounds: int = 500, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
+    """Patterns and fractional counts of a cover of the demand, within half a sequence or the share `gap` of the least."""
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
     cost = np.ones(m)
-    for _ in range(rounds):
-        inverse = np.linalg.inv(basis)
+    inverse = np.linalg.inv(basis)
+    demand = demand + 1e-4 * (1 + np.arange(m) * 0.618 % 1)  # no two ratios are equal, so no round stands still
+    centre, bound = None, 0.0
+    for k in range(rounds):
+        if k % 50 == 49:
+            inverse = np.linalg.inv(basis)  # against rounding
         x = inverse @ demand
         dual = cost @ inverse
         low = int(dual.argmin())
         if dual[low] < -1e-9:
             column, price = -np.eye(m)[low], 0.0  # more than asked of a class
         else:
-            value, count = knapsack(np.maximum(dual, 0), sizes, capacity)
-            if value <= 1 + gap:
+            used = float(cost @ x)
+            # Prices between the present duals and those of the best bound so far swing less; the present ones decide.
+            for prices in ([0.6 * centre + 0.4 * dual] if centre is not None else []) + [dual]:
+                value, count = knapsack(np.maximum(prices, 0), sizes, capacity)
+                if (least := float(np.maximum(prices, 0) @ demand) / max(value, 1.0)) > bound:
+                    bound, centre = least, np.maximum(prices, 0) / max(value, 1.0)
+                if (gain := float(count @ dual)) > 1 + 1e-9:
+                    break
+            if gain <= 1 + 1e-9 or used - bound <= max(0.5, gap * used):
                 break
             column, price = count.astype(float), 1.0
         step = inverse @ column
@@ -81,6 +92,9 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, r
         ratio = np.where(up, np.maximum(x, 0) / np.where(up, step, 1), np.inf)
         out = int(ratio.argmin())
         basis[:, out], cost[out] = column, price
+        row = inverse[out] / step[out]
+        step[out] -= 1.0
+        inverse = inverse - np.outer(step, row)
     x = np.linalg.solve(basis, demand)
     return [(basis[:, k].astype(np.int64), float(x[k])) for k in range(m) if cost[k] > 0 and x[k] > 1e-9]
 

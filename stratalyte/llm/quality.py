@@ -100,13 +100,13 @@ def _adam(grad, size: int, rounds: int, rate: float = 0.08) -> np.ndarray:
 
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Share of positives in the unlabelled: least ratio of tail masses, each with its sampling error added:
-    an upper bound, so that clean text is not given up."""
+    """Share of positives in the unlabelled: least ratio of tail masses, each with half its sampling error
+    added: on the high side, so that clean text is not given up."""
     cuts = np.quantile(pos, np.linspace(0, 0.9, 181))
     fp = 1 - np.searchsorted(np.sort(pos), cuts, "left") / len(pos)
     fu = 1 - np.searchsorted(np.sort(unl), cuts, "left") / len(unl)
     slack = np.sqrt(np.log(40) / 2 / len(pos)) + np.sqrt(np.log(40) / 2 / len(unl))
-    return float(np.clip(((fu + slack) / np.maximum(fp, 1e-9)).min(), 0.05, 0.99))
+    return float(np.clip(((fu + slack / 2) / np.maximum(fp, 1e-9)).min(), 0.05, 0.99))
 
 
 def fit_pu(pos: np.ndarray, unl: np.ndarray, *, rounds: int = 400, l2: float = 1e-4) -> QualityModel:
