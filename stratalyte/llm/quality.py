@@ -1,7 +1,7 @@
 """Quality classifier: positive-unlabelled learning with the non-negative unbiased risk.
 
 Trusted positives are labelled rows, the unlabelled side is web text as it comes, and the class prior is
-estimated from the two (the least ratio of tail masses of a positive-against-unlabelled score). The model is
+estimated from the two: the ratio of tail masses of a positive-against-unlabelled score, on rows it was not fitted on. The model is
 additive over binned text statistics, so a score is a sum of table entries and a logistic.
 
 Defined results: a null text counts as empty and gets a score; a null doc_id is never held out; repeated rows get
@@ -91,22 +91,25 @@ def _codes(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def _adam(grad, size: int, rounds: int, rate: float = 0.08) -> np.ndarray:
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    """The mean of the last half of the steps."""
+    w, m, v, mean = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size)
     for t in range(1, rounds + 1):
         g = grad(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+        if t > rounds // 2:
+            mean += w / (rounds - rounds // 2)
+    return mean
 
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Share of positives in the unlabelled: least ratio of tail masses, each with half its sampling error
-    added: on the high side, so that clean text is not given up."""
+    """Share of positives in the unlabelled: the ratio of tail masses at the cut where its upper confidence bound is least."""
     cuts = np.quantile(pos, np.linspace(0, 0.9, 181))
     fp = 1 - np.searchsorted(np.sort(pos), cuts, "left") / len(pos)
     fu = 1 - np.searchsorted(np.sort(unl), cuts, "left") / len(unl)
     slack = np.sqrt(np.log(40) / 2 / len(pos)) + np.sqrt(np.log(40) / 2 / len(unl))
-    return float(np.clip(((fu + slack / 2) / np.maximum(fp, 1e-9)).min(), 0.05, 0.99))
+    best = int(((fu + slack) / np.maximum(fp, 1e-9)).argmin())
+    return float(np.clip(fu[best] / max(fp[best], 1e-9), 0.05, 0.99))
 
 
 def fit_pu(pos: np.ndarray, unl: np.ndarray, *, rounds: int = 400, l2: float = 1e-4) -> QualityModel:
@@ -120,11 +123,16 @@ def fit_pu(pos: np.ndarray, unl: np.ndarray, *, rounds: int = 400, l2: float = 1
     reg = np.full(cp.shape[1], l2)
     reg[-1] = 0
 
-    def against(w: np.ndarray) -> np.ndarray:
-        return -cp.T @ (1 - _sigmoid(cp @ w)) / len(cp) + cu.T @ _sigmoid(cu @ w) / len(cu) + reg * w
+    def against(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return -a.T @ (1 - _sigmoid(a @ w)) / len(a) + b.T @ _sigmoid(b @ w) / len(b) + reg * w
 
-    w = _adam(against, cp.shape[1], rounds // 2)
-    prior = estimate_prior(cp @ w, cu @ w)
+    # The prior comes from rows that the score was not fitted on: each half is scored by the other's fit.
+    halves = []
+    for k in (0, 1):
+        if min(len(pos), len(unl)) > 1:
+            w = _adam(lambda w, k=k: against(cp[k::2], cu[k::2], w), cp.shape[1], rounds // 2)
+            halves.append(estimate_prior(cp[1 - k :: 2] @ w, cu[1 - k :: 2] @ w))
+    prior = float(np.mean(halves or [0.5]))
 
     def risk(w: np.ndarray) -> np.ndarray:
         sp, su = _sigmoid(cp @ w), _sigmoid(cu @ w)
