@@ -57,17 +57,22 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), count
 
 
+def _refined(a: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """A step of Newton's iteration for the inverse: takes back the rounding of many updates, with products alone."""
+    return inverse @ (2 * np.eye(len(a)) - a @ inverse)
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, rounds: int = 500, gap: float = 1e-3) -> list[tuple[np.ndarray, float]]:
     """Patterns and fractional counts of a cover of the demand, within half a sequence or the share `gap` of the least."""
     m = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
     cost = np.ones(m)
-    inverse = np.linalg.inv(basis)
+    inverse = np.diag(1.0 / (capacity // sizes))
     demand = demand + 1e-4 * (1 + np.arange(m) * 0.618 % 1)  # no two ratios are equal, so no round stands still
     centre, bound = None, 0.0
     for k in range(rounds):
         if k % 50 == 49:
-            inverse = np.linalg.inv(basis)  # against rounding
+            inverse = _refined(basis, inverse)
         x = inverse @ demand
         dual = cost @ inverse
         low = int(dual.argmin())
@@ -95,7 +100,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, r
         row = inverse[out] / step[out]
         step[out] -= 1.0
         inverse = inverse - np.outer(step, row)
-    x = np.linalg.solve(basis, demand)
+    x = _refined(basis, inverse) @ demand
     return [(basis[:, k].astype(np.int64), float(x[k])) for k in range(m) if cost[k] > 0 and x[k] > 1e-9]
 
 
