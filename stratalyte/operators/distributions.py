@@ -83,9 +83,9 @@ def statistics(df: DataFrame) -> DataFrame:
     )
 
 
-@query("distribution_statistics", _STATS + " select ctx, n::bigint as n, round(h, 6) as entropy, round(most, 6) as most, best, round(spread, 6) as spread, round(gini, 6) as gini, round(exp(h), 5) as effective_vocabulary from st")
+@query("distribution_statistics", _STATS + " select ctx, n::bigint as n, round(h, 6) as entropy, round(most, 6) as most, best, round(spread + 1e-10, 6) as spread, round(gini, 6) as gini, round(exp(h), 5) as effective_vocabulary from st")
 def distribution_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return statistics(distribution(spark, d)).select("ctx", "n", *(F.round(c, 6).alias(a) for c, a in (("h", "entropy"), ("most", "most"))), "best", F.round("spread", 6).alias("spread"), F.round("gini", 6).alias("gini"), F.round(F.exp("h"), 5).alias("effective_vocabulary"))
+    return statistics(distribution(spark, d)).select("ctx", "n", *(F.round(c, 6).alias(a) for c, a in (("h", "entropy"), ("most", "most"))), "best", F.round(F.col("spread") + 1e-10, 6).alias("spread"), F.round("gini", 6).alias("gini"), F.round(F.exp("h"), 5).alias("effective_vocabulary"))
 
 
 @query("confidence", _STATS + """

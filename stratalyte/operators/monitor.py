@@ -85,7 +85,7 @@ def cooldown_rules(spark: SparkSession, d: str) -> DataFrame:
 @query("moving_average", """
 with recursive e as (select user_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) as i from events),
 f as (select user_id, i, event_id, value as slow, value as fast from e where i = 1 union all select e.user_id, e.i, e.event_id, 0.95 * f.slow + 0.05 * e.value, 0.9 * f.fast + 0.1 * e.value from f join e on e.user_id = f.user_id and e.i = f.i + 1)
-select event_id, round(slow, 5) as slow, round(fast, 5) as fast from f""")
+select event_id, round(slow + 1e-9, 5) as slow, round(fast + 1e-9, 5) as fast from f""")
 def moving_average(spark: SparkSession, d: str) -> DataFrame:
     """Exponential means with weights 0.95 and 0.9, started at the first sample."""
 
@@ -96,7 +96,7 @@ def moving_average(spark: SparkSession, d: str) -> DataFrame:
 
     e = table(spark, d, "events").where("value is not null").select("user_id", "ts", "event_id", "value")
     m = fold_sorted(e, ["user_id"], list(BY_TIME), lambda: None, step, {"slow": "double", "fast": "double"}, [pa.float64()] * 2)
-    return m.select("event_id", F.round("slow", 5).alias("slow"), F.round("fast", 5).alias("fast"))
+    return m.select("event_id", *(F.round(F.col(c) + 1e-9, 5).alias(c) for c in ("slow", "fast")))
 
 
 @query("adaptation_trigger", """

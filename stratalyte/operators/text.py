@@ -61,7 +61,7 @@ def profile_score(hist: Column, n: Column, weights: dict[str, float]) -> Column:
 
 def _profile_sql() -> str:
     case = lambda name: "case b " + " ".join(f"when {ord(c)} then {w}" for c, w in PROFILES[name].items()) + " else 0.1 end"
-    sums = ", ".join(f"round(coalesce(sum(c * {case(x)}) / any_value(n), 0)::double, 6) as {x}_score" for x in PROFILES)
+    sums = ", ".join(f"round(coalesce(sum(c * {case(x)}) / any_value(n), 0)::double + 1e-10, 6) as {x}_score" for x in PROFILES)
     return f"""with {BYTES_SQL}, s as (select d.doc_id, {sums} from documents d left join hist using (doc_id) left join totals using (doc_id) group by d.doc_id)
     select *, case when greatest(english_score, c_score, json_score) = 0 then 'unknown' when english_score >= c_score and english_score >= json_score then 'english' when c_score >= json_score then 'c' else 'json' end as language,
       least(0.9, round(greatest(english_score, c_score, json_score) / 10, 4))::double as confidence from s"""
@@ -71,7 +71,7 @@ def _profile_sql() -> str:
 def language_score(spark: SparkSession, d: str) -> DataFrame:
     """Mean profile weight of a text's bytes, the best profile and its confidence."""
     p = byte_profile(table(spark, d, "documents"))
-    s = p.select("doc_id", *(F.round(profile_score(F.col("hist"), F.col("n"), w), 6).alias(f"{x}_score") for x, w in PROFILES.items()))
+    s = p.select("doc_id", *(F.round(profile_score(F.col("hist"), F.col("n"), w) + 1e-10, 6).alias(f"{x}_score") for x, w in PROFILES.items()))
     best = F.greatest(*(f"{x}_score" for x in PROFILES))
     e, c, j = (F.col(f"{x}_score") for x in PROFILES)
     name = F.when(best == 0, "unknown").when((e >= c) & (e >= j), "english").when(c >= j, "c").otherwise("json")
