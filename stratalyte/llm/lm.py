@@ -1,15 +1,19 @@
 """Language-model scoring by deleted interpolation.
 
-Maximum-likelihood estimates of two orders and the uniform one are mixed by buckets of context frequency (powers of
-two), and the mixture weights of each bucket come from expectation-maximisation on the counts of a fold that the
-estimates of that step leave out. Words with at least 1/2048 of all training tokens (so at most 2048 of them) and
-the end are classes of their own; all other words share a class in the bigram, and within it go by their own counts:
+Maximum-likelihood estimates are mixed by buckets of context frequency (powers of two), and the mixture weights of
+each bucket come from expectation-maximisation on the counts of a fold that the estimates of that step leave out:
 
-    P(w | h) = l2 * c(h, class w) / c(h) * c(w) / c(class w) + l1 * c(w) / N + l0 / (V + 1)
+    P(w | h) = m * c(h, w) / c(h) + (1 - m) * Q(w | class h)
+    Q(w | class h) = l2 * c(class h, class w) / c(class h) * c(w) / c(class w) + l1 * c(w) / N + l0 / (V + 1)
 
-Counts of words are gathered over the whole corpus by their 64-bit hash and grow with it. The counts of words
-with at least 1/65536 of the tokens (so at most 65536) go to every task; the others are looked up in a join.
-For the held-out counts of rare words the context and the word's count are taken as independent.
+Q smooths the bigram of words. In it, words with at least 1/2048 of all training tokens (so at most 2048 of them)
+and the end are classes of their own; all other words share a class, and within it go by their own counts.
+
+Counts of words, and of all pairs of words, are gathered over the whole corpus by their 64-bit hashes and grow with
+it. The counts of words with at least 1/65536 of the tokens (so at most 65536) and of pairs of classes go to every
+task; all others are looked up in a join. A pair that is joined has a word outside the classes, so no key has more
+than 1/2048 of the tokens. For Q's held-out counts of rare words the context and the word's count are taken as
+independent; the weights m come from each pair's own counts.
 
 Defined results: a null or empty text is its end token alone; with no training document every score is that of
 the uniform estimate; repeated rows have repeated results; a null doc_id is training text; extra columns are ignored.
@@ -24,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, ascii_lower, fold, materialise, words
@@ -33,6 +37,8 @@ HEAD_SHARE, LOCAL_SHARE = 2048, 65_536
 FOLDS, TEST_FOLD, TUNE_FOLD = 7, 2, 6
 BOS, RARE, END, FIRST = 0, 1, 2, 3
 _SEED = 42  # that of the SQL function xxhash64
+_EDGE = 0  # key of the start as a context and of the end as a word
+_GATHER = 1_000_000  # tokens counted at once in a task
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -84,6 +90,9 @@ class Model:
     alpha: np.ndarray  # P of another word is its count * alpha(context) + beta(context)
     beta: np.ndarray
     weights: dict[int, list[float]]
+    log_pair: np.ndarray  # log10 P(word | context) where both are classes of their own
+    bigram: list[float]  # the weight m of the pair of words, for each bucket of c(h)
+    pairs: DataFrame | None  # h, w, p, cw of the other pairs: log10 P(w | h), and c(w) where not every task knows it
 
 
 def interpolation_weights(n: np.ndarray, p: np.ndarray, bucket: np.ndarray, rounds: int = 60) -> dict[int, list[float]]:
@@ -103,8 +112,55 @@ def interpolation_weights(n: np.ndarray, p: np.ndarray, bucket: np.ndarray, roun
     return out
 
 
+def pair_counts(docs: DataFrame, keys: np.ndarray, counts: np.ndarray, n_head: int) -> DataFrame:
+    """h, w, main, tune: counts of each pair of neighbours, without and in the tuning fold; 0 where only test documents have it."""
+    part = F.when(fold("doc_id", FOLDS) == TEST_FOLD, 2).when(fold("doc_id", FOLDS) == TUNE_FOLD, 1).otherwise(0)
+    rows = docs.select("text", part.alias("part"))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(keys, counts, n_head)
+        found: list[np.ndarray] = []
+        held = 0
+
+        def summed() -> pa.RecordBatch:
+            x, n = np.unique(np.concatenate(found), return_counts=True)
+            h, w, p = x >> 32, (x >> 2) & ((1 << 30) - 1), x & 3
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (classes.key[h], classes.key[w], np.where(p == 0, n, 0), np.where(p == 1, n, 0))], ["h", "w", "main", "tune"])
+
+        for b in batches:
+            for t, p in zip(b.column("text"), b.column("part").to_pylist()):
+                if found and (held >= _GATHER or classes.n > classes.most):  # places hold until the memory is cleared
+                    yield summed()
+                    found, held = [], 0
+                place = classes.of(t.as_py())
+                found.append((np.append(0, place) << 32) + (np.append(place, 0) << 2) + p)
+                held += len(place) + 1
+        if found:
+            yield summed()
+
+    return rows.mapInArrow(gathered, "h long, w long, main long, tune long").groupBy("h", "w").agg(F.sum("main").alias("main"), F.sum("tune").alias("tune"))
+
+
+def _with_word_counts(pairs: DataFrame, counts: DataFrame, local: DataFrame) -> DataFrame:
+    """`pairs` with ch, ht, cw, wt: counts of both words and those in the tuning fold; w_local: whether every task knows cw."""
+    for x, c, t in (("h", "ch", "ht"), ("w", "cw", "wt")):
+        pairs = pairs.join(F.broadcast(local.toDF(f"{x}_key", f"{x}_c", f"{x}_tune")), F.col(x) == F.col(f"{x}_key"), "left")
+        # Words that are known here are dealt out by the pair, so that no frequent word is a key.
+        ask = F.when(F.col(f"{x}_key").isNull(), F.col(x)).otherwise(F.xxhash64("h", "w"))
+        pairs = pairs.withColumn("ask", ask).join(counts.toDF("key", c, t), F.col("ask") == F.col("key"), "left").drop("ask", "key")
+        known = F.col(f"{x}_key").isNotNull()
+        pairs = pairs.withColumn(c, F.when(known, F.col(f"{x}_c")).otherwise(F.coalesce(c, F.lit(0)))).withColumn(t, F.when(known, F.col(f"{x}_tune")).otherwise(F.coalesce(t, F.lit(0))))
+        pairs = pairs.withColumn(f"{x}_local", known).drop(f"{x}_key", f"{x}_c", f"{x}_tune")
+    return pairs.drop("h_local")
+
+
+def _level(c: Column) -> Column:
+    return F.floor(F.log2(c + 1)).cast("int")
+
+
 def fit(docs: DataFrame, counts: DataFrame) -> Model:
     """counts: word_counts(docs), written once."""
+    spark = docs.sparkSession
     train = docs.where(fold("doc_id", FOLDS) != TEST_FOLD).select("text", (fold("doc_id", FOLDS) == TUNE_FOLD).alias("tune"))
     n_docs = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("tune").cast("long")), F.lit(0)).alias("t")).first()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("tune"), F.lit(0)).alias("t")).first()
@@ -116,20 +172,21 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
     n_head = int((c * HEAD_SHARE >= max(1, tokens)).sum())
     k = FIRST + n_head
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(keys, c, n_head)
-        for b in batches:
-            found = []
-            for t, tuned in zip(b.column("text"), b.column("tune").to_pylist()):
-                place = classes.of(t.as_py())
-                cls = classes.cls[place].astype(np.int64)
-                found.append((np.append(BOS, cls) * k + np.append(cls, END)) * 2 + tuned)
-            pair, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], ["pair", "n"])
-
-    got = train.mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most 2 * k * k rows
-    both = np.zeros((k * k * 2,), np.int64)
-    both[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    def frame(**cols: np.ndarray) -> DataFrame:
+        return spark.createDataFrame(pa.table({n: pa.array(x) for n, x in cols.items()}))
+
+    local_counts = frame(key=np.append(_EDGE, keys), c=np.append(n_docs["n"], c).astype(np.int64), tune=np.append(n_docs["t"], tune).astype(np.int64))
+    pairs = materialise(_with_word_counts(pair_counts(docs, keys, c, n_head), counts, local_counts), "pair-counts")
+    head_keys = np.append(_EDGE, keys[:n_head])
+    h_classes, w_classes = (np.append(edge, FIRST + np.arange(n_head)).astype(np.int32) for edge in (BOS, END))
+
+    classed = pairs.where("main + tune > 0")
+    for x, of in (("h", h_classes), ("w", w_classes)):
+        classed = classed.join(F.broadcast(frame(key=head_keys, cls=of).toDF(f"{x}_key", f"{x}_cls")), F.col(x) == F.col(f"{x}_key"), "left")
+    pair = F.coalesce("h_cls", F.lit(RARE)).cast("long") * k + F.coalesce("w_cls", F.lit(RARE))
+    got = classed.groupBy(pair.alias("pair")).agg(F.sum("main").alias("main"), F.sum("tune").alias("tune")).toArrow()  # at most k * k rows
+    both = np.zeros((k * k, 2), np.int64)
+    both[got.column("pair").to_numpy()] = np.stack([got.column("main").to_numpy(), got.column("tune").to_numpy()], 1)
     both = both.reshape(k, k, 2)
 
     # Held-out events against the counts without that fold.
@@ -153,20 +210,54 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
         events.append((held[at, RARE] * share, np.stack([p2[~whole] * mean / rare_main, np.full(len(at), mean / n_main), np.full(len(at), 1 / (kinds + 1))], 1), level[at]))
     lam = interpolation_weights(*(np.concatenate(x) for x in zip(*events)))
 
+    levels = np.array(sorted(lam)) if lam else np.array([0])
+
+    def smooth(full: np.ndarray, own: np.ndarray, n_all: int, rare_all: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Q of classes, alpha and beta by these counts."""
+        context = full.sum(1)
+        at = levels[np.minimum(np.searchsorted(levels, np.floor(np.log2(context + 1)).astype(int)), len(levels) - 1)]
+        l2, l1, l0 = (np.array([lam.get(int(b), [1 / 3] * 3)[j] for b in at]) for j in range(3))
+        seen = context > 0
+        l1, l0 = np.where(seen, l1, l1 / (l1 + l0)), np.where(seen, l0, l0 / (l1 + l0))
+        l2 = np.where(seen, l2, 0.0)
+        p = l2[:, None] * full / np.maximum(context, 1)[:, None] + l1[:, None] * own[None] / n_all + l0[:, None] / (kinds + 1)
+        return p, l2 * full[:, RARE] / np.maximum(context, 1) / rare_all + l1 / n_all, l0 / (kinds + 1)
+
+    def joined(q: np.ndarray, alpha: np.ndarray, beta: np.ndarray, cw: Column) -> tuple[DataFrame, Column]:
+        """The pairs with a word outside the classes, and Q of each."""
+        hs = frame(key=head_keys, alpha=alpha[h_classes], beta=beta[h_classes]).toDF("h_key", "alpha", "beta")
+        ws = frame(key=head_keys, q=q[RARE, w_classes]).toDF("w_key", "q")
+        rows = pairs.join(F.broadcast(hs), F.col("h") == F.col("h_key"), "left").join(F.broadcast(ws), F.col("w") == F.col("w_key"), "left").where("h_key is null or w_key is null")
+        return rows, F.when(F.col("w_key").isNotNull(), F.col("q")).otherwise(cw * F.coalesce("alpha", F.lit(float(alpha[RARE]))) + F.coalesce("beta", F.lit(float(beta[RARE]))))
+
+    # Weights of the pair of words: only the odds of the two estimates count, so events are gathered by them in eighths of a power of two.
+    q, alpha, beta = smooth(main, own, n_main, rare_main)
+    rows, old = joined(q, alpha, beta, F.col("cw") - F.col("wt"))
+    seen_before = F.col("ch") - F.col("ht")
+    odds = F.when(F.col("main") > 0, F.round(8 * F.log2(F.col("main") / seen_before / old)).cast("int"))
+    hist = rows.where("tune > 0").groupBy(_level(seen_before).alias("level"), odds.alias("odds")).agg(F.sum("tune").alias("n")).orderBy("level", "odds").collect()
+    inner = (h != RARE) & (t != RARE)
+    h, t = h[inner], t[inner]
+    n = np.concatenate([held[h, t], np.array([r["n"] for r in hist], np.int64)])
+    ratio = np.concatenate([main[h, t] / np.maximum(context[h], 1) / q[h, t], np.array([0.0 if r["odds"] is None else 2.0 ** (r["odds"] / 8) for r in hist])])
+    bucket = np.concatenate([level[h], np.array([r["level"] for r in hist], int)])
+    mix = interpolation_weights(n, np.stack([ratio, np.ones(len(n))], 1), bucket)
+    bigram = [0.0] * 64  # a bucket without events goes by the one below
+    for b in range(64):
+        bigram[b] = mix[b][0] if b in mix else bigram[b - 1] if b else 0.0
+
     # The model itself, on all training counts.
     full = both.sum(2)
     context = full.sum(1)
-    levels = np.array(sorted(lam)) if lam else np.array([0])
-    at = levels[np.minimum(np.searchsorted(levels, np.floor(np.log2(context + 1)).astype(int)), len(levels) - 1)]
-    l2, l1, l0 = (np.array([lam.get(int(b), [1 / 3] * 3)[j] for b in at]) for j in range(3))
-    seen = context > 0
-    l1, l0 = np.where(seen, l1, l1 / (l1 + l0)), np.where(seen, l0, l0 / (l1 + l0))
-    l2 = np.where(seen, l2, 0.0)
     own = np.concatenate([[0, 0, n_docs["n"]], c[:n_head]])
-    n_all, rare_all = max(1, tokens), max(1, sums["c"] - int(c[:n_head].sum()))
-    p = l2[:, None] * full / np.maximum(context, 1)[:, None] + l1[:, None] * own[None] / n_all + l0[:, None] / (kinds + 1)
-    alpha = l2 * full[:, RARE] / np.maximum(context, 1) / rare_all + l1 / n_all
-    return Model(keys, c, n_head, int(tokens), int(kinds), int(n_docs["n"]), np.log10(p), alpha, l0 / (kinds + 1), lam)
+    p, alpha, beta = smooth(full, own, max(1, tokens), max(1, sums["c"] - int(c[:n_head].sum())))
+    m = np.where(context > 0, np.array(bigram)[np.floor(np.log2(context + 1)).astype(int)], 0.0)[:, None]
+    log_pair = np.log10(m * full / np.maximum(context, 1)[:, None] + (1 - m) * p)
+    rows, old = joined(p, alpha, beta, F.col("cw"))
+    m = F.when(F.col("ch") > 0, F.element_at(F.array(*[F.lit(x) for x in bigram]), _level(F.col("ch")) + 1)).otherwise(0.0)
+    own_share = F.coalesce(F.try_divide(F.col("main") + F.col("tune"), F.col("ch")), F.lit(0.0))
+    scored = rows.select("h", "w", F.log10(m * own_share + (1 - m) * old).alias("p"), F.when(~F.col("w_local"), F.col("cw")).alias("cw"))
+    return Model(keys, c, n_head, int(tokens), int(kinds), int(n_docs["n"]), np.log10(p), alpha, beta, lam, log_pair, bigram, scored)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -174,15 +265,16 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = materialise(word_counts(docs), "word-counts")
     m = fit(docs, counts)
+    pairs, m.pairs = m.pairs, None  # tasks get the rest
     total = m.tokens + m.kinds + 1
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text a row (no key) with what can be summed here, and one for each word and context to be looked up."""
+        """For each text a row with what can be summed here, and one for each pair of words to be looked up."""
         classes = Classes(m.keys, m.counts, m.n_head)
         own = np.concatenate([[0, 0, m.ends], m.counts[: m.n_head]])
         base_head = np.log10((own + 1) / total)
         for b in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(8)]
+            out: list[list[np.ndarray]] = [[] for _ in range(9)]
             for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 text = t.as_py()
                 place = classes.of(text)
@@ -191,29 +283,28 @@ def score(docs: DataFrame) -> DataFrame:
                 count = np.append(classes.count[place], m.ends)
                 head = w != RARE
                 here = ~head & (count >= 0)
-                s = m.log_head[h[head], w[head]].sum() + np.log10(count[here] * m.alpha[h[here]] + m.beta[h[here]]).sum()
+                inner = head & (h != RARE)
+                s = m.log_pair[h[inner], w[inner]].sum()
                 base = base_head[w[head]].sum() + np.log10((count[here] + 1) / total).sum()
                 known = int((own[w[head]] > 0).sum()) + int((count[here] > 0).sum())
-                ask = np.flatnonzero(~head & (count < 0))
-                pair, n = np.unique(place[ask] * (1 << 20) + h[ask], return_counts=True)
+                ask = np.flatnonzero(~inner)
+                pair, n = np.unique((np.append(0, place)[ask] << 32) + np.append(place, 0)[ask], return_counts=True)
                 rows = 1 + len(pair)
                 mark = np.zeros(rows, bool)
                 mark[0] = True
-                cols = (np.full(rows, np.nan if d is None else d, object if d is None else np.int64), np.full(rows, zlib.crc32(text.encode("utf-8", "surrogatepass")), np.uint32).view(np.int32), np.append(0, classes.key[pair >> 20]), np.append(-1, pair & ((1 << 20) - 1)).astype(np.int32), np.append(len(w), n).astype(np.int32))
+                cols = (np.full(rows, np.nan if d is None else d, object if d is None else np.int64), np.full(rows, zlib.crc32(text.encode("utf-8", "surrogatepass")), np.uint32).view(np.int32), np.append(0, classes.key[pair >> 32]), np.append(0, classes.key[pair & 0xFFFFFFFF]), mark.astype(np.int32), np.append(len(w), n).astype(np.int32))
                 for c, x in zip(out, (*cols, np.where(mark, s, 0.0), np.where(mark, base, 0.0), np.where(mark, known, 0))):
                     c.append(x)
             if not out[0]:
                 continue
             ids = pa.array([None if x != x else int(x) for c in out[0] for x in c], pa.int64()) if any(c.dtype == object for c in out[0]) else pa.array(np.concatenate(out[0]))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(c)) for c in out[1:])], ["doc_id", "t", "key", "h", "n", "score", "base", "known"])
-
-    parts = docs.mapInArrow(local, "doc_id long, t int, key long, h int, n int, score double, base double, known long")
-    marks = parts.where("h < 0").select("doc_id", "t", F.lit(1).alias("rows"), F.col("n").cast("long").alias("n_tokens"), "score", "base", "known")
-    contexts = docs.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(m.alpha, m.beta))], "ctx int, alpha double, beta double")
-    asked = parts.where("h >= 0").select("doc_id", "t", "key", "h", "n").join(counts.select(F.col("key").alias("k"), "c"), F.col("key") == F.col("k"), "left")
-    asked = asked.join(F.broadcast(contexts), F.col("h") == F.col("ctx"))  # at most 2051 rows
-    c = F.coalesce("c", F.lit(0))
-    looked = asked.select("doc_id", "t", F.lit(0).alias("rows"), F.lit(0).cast("long").alias("n_tokens"), (F.col("n") * F.log10(c * F.col("alpha") + F.col("beta"))).alias("score"), (F.col("n") * F.log10((c + 1) / F.lit(float(total)))).alias("base"), F.when(c > 0, F.col("n")).otherwise(0).cast("long").alias("known"))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(c)) for c in out[1:])], ["doc_id", "t", "h", "w", "rows", "n", "score", "base", "known"])
+
+    parts = docs.mapInArrow(local, "doc_id long, t int, h long, w long, rows int, n int, score double, base double, known long")
+    marks = parts.where("rows = 1").select("doc_id", "t", "rows", F.col("n").cast("long").alias("n_tokens"), "score", "base", "known")
+    asked = parts.where("rows = 0").select("doc_id", "t", "h", "w", "n").join(pairs, ["h", "w"])  # which has every pair of every document
+    base = F.coalesce(F.col("n") * F.log10((F.col("cw") + 1) / F.lit(float(total))), F.lit(0.0))
+    looked = asked.select("doc_id", "t", F.lit(0).alias("rows"), F.lit(0).cast("long").alias("n_tokens"), (F.col("n") * F.col("p")).alias("score"), base.alias("base"), F.when(F.col("cw") > 0, F.col("n")).otherwise(0).cast("long").alias("known"))
     sums = marks.unionByName(looked).groupBy("doc_id", "t").agg(*(F.sum(x).alias(x) for x in ("rows", "n_tokens", "score", "base", "known")))
     each = lambda x: F.col(x) / F.col("rows")  # noqa: E731  equal rows have been summed together
     return sums.select(

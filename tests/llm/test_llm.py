@@ -222,6 +222,38 @@ def test_interpolation_is_a_distribution(spark):
     assert all(abs(sum(w) - 1) < 1e-9 for w in m.weights.values())
 
 
+def test_language_model_counts_all_pairs(spark):
+    rng = random.Random(5)
+    follow = {}
+    texts = []
+    for i in range(240):
+        w = [f"w{rng.randrange(3000)}"]
+        for _ in range(80):
+            w.append(follow.setdefault(w[-1], f"w{rng.randrange(3000)}") if rng.random() < 0.8 else f"w{rng.randrange(3000)}")
+        texts.append((i, " ".join(w)))
+    docs = docs_of(spark, texts).select("doc_id", "text")
+    m = lm.fit(docs, lm.materialise(lm.word_counts(docs), "word-counts"))
+    fold = {i: zlib.crc32(str(i).encode()) % 7 for i, _ in texts}
+    word, pair, kinds = collections.Counter(), collections.Counter(), set()
+    for i, t in texts:
+        w = [None, *t.encode().split(), None]
+        kinds |= set(zip(w, w[1:]))
+        if fold[i] != lm.TEST_FOLD:
+            word.update(w[:-1])
+            pair.update(zip(w, w[1:]))
+    key = lambda w: 0 if w is None else (k := xxhash.xxh64_intdigest(w, 42)) - ((k >> 63) << 64)
+    head = {0, *m.keys[: m.n_head].tolist()}
+    want = {(key(a), key(b)): (a, b) for a, b in kinds if not {key(a), key(b)} <= head}
+    got = {(r["h"], r["w"]): r["p"] for r in m.pairs.collect()}
+    assert set(got) == set(want) and want
+    for k, (a, b) in want.items():
+        share = m.bigram[int(math.log2(word[a] + 1))] * pair[a, b] / word[a] if word[a] else 0
+        assert 10 ** got[k] >= share * (1 - 1e-9)
+    assert max(m.bigram) > 0.3  # pairs outside the head foretell the next word
+    held = [r for r in lm.score(docs).collect() if r["held_out"]]
+    assert sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held) > -2.4
+
+
 def test_language(spark):
     text = {"en": "the and of that with for this", "de": "der und nicht die ist das mit", "fr": "les des une pour dans que est"}
     rng = random.Random(1)
