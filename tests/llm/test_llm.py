@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from stratalyte.llm import decontaminate, langid, linededup, lm, packing, quality, simhash, tokenfile, tokens, urlfilter, vptree
+from stratalyte.llm import decontaminate, langid, linededup, lm, neardup, packing, quality, simhash, tokenfile, tokens, urlfilter, vptree
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, _gone long, _quality string"
 
@@ -314,6 +314,36 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_dedup_by_similarity(spark):
+    rng = random.Random(9)
+    base = [" ".join(f"v{rng.randrange(500)}" for _ in range(150)) for _ in range(12)]
+
+    def changed(t, k):
+        w = t.split()
+        for i in rng.sample(range(0, 150, 7), k):
+            w[i] = "other"
+        return " ".join(w)
+
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, changed(t, 1 + i % 6)) for i, t in enumerate(base * 4)]
+    rows += [(1, "one id with a second text of some length here"), (300, "x y z"), (301, "X  y z"), (302, ""), (303, None), (304, " "), (None, base[0]), (305, base[3]), (306, "q r s"), (306, "q r s")]
+    shingle = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4))}
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    ids = sorted({x for x in rows if x[0] is not None}, key=lambda x: (x[0], x[1] or ""))
+    sets = [shingle(t) for _, t in ids]
+    label = list(range(len(ids)))
+    for _ in range(6):
+        label = [min(label[j] for j in range(len(ids)) if near(sets[i], sets[j])) for i in range(len(ids))]
+    docs = docs_of(spark, rows)
+    left = neardup.dedup_similar(docs)
+    got = [(r["doc_id"], r["text"]) for r in left.collect()]
+    want = [ids[i] for i in sorted(set(label))]
+    assert left.columns == docs.columns and (None, base[0]) in got and len(got) == len(want) + 1
+    assert {i for i, _ in got} - {None} == {i for i, _ in want} and rows[60] in got
+    plain = {r["doc_id"] for r in simhash.dedup_near(docs).collect()}
+    assert len(plain) > len({i for i, _ in got})  # four bits of the fingerprint are too few for 0.8
+    assert neardup.dedup_similar(docs_of(spark, [])).count() == 0
+
+
 def test_bk_trees_find_all_links():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
