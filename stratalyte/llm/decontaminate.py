@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 A text becomes template tokens: words without the marks around them, A-Z and other letters lower-cased; numbers
-become <num>, units after a number <unit>, and capitalised words inside a sentence <name>. Windows of five tokens
-are hash-joined with those of the benchmark items. An item is found in a document where at least 0.8 of the item's
+become <num>, units after a number <unit>, and capitalised words inside a sentence <name>. A capitalised word that
+begins a sentence is read both as a plain word and as <name>. Windows of five tokens, by either reading, are
+hash-joined with those of the benchmark items. An item is found in a document where at least 0.8 of the item's
 windows match near one alignment with slots that are consistent: each slot value of the item stands for one value
 of its type throughout, and no two for the same, so a question with other numbers or names is found, and one that
 mixes them is not.
@@ -34,7 +35,7 @@ DRIFT = 16
 #: Windows of the benchmark held by one task; larger benchmarks are matched in blocks of items.
 BLOCK_WINDOWS = 2_000_000
 #: Units of measure, currency and time.
-UNITS = frozenset("kg g mg lb lbs oz t km m cm mm mi mile miles ft foot feet in inch inches yd l ml s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent $ € £ dollar dollars euro euros cent cents mph kmh".split())
+UNITS = frozenset("kg g mg lb lbs oz t km m cm mm mi mile miles ft foot feet in inch inches yd l ml gram grams gramme grammes kilogram kilograms milligram milligrams pound pounds ounce ounces ton tons tonne tonnes meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters centimetre centimetres millimeter millimeters millimetre millimetres yard yards liter liters litre litres milliliter milliliters millilitre millilitres gallon gallons pint pints quart quarts s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years % percent $ € £ dollar dollars euro euros cent cents mph kmh".split())
 #: Numbers as words.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 _MARKS = re.compile(r"^[^\w%$€£]+|[^\w%$€£]+$")
@@ -90,8 +91,8 @@ class Canon:
         self.n += 1
         return self.n - 1
 
-    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hash, kind and slot value of each token of the whole text."""
+    def tokens(self, text: str | None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Slot value of each token of the whole text; its template hash and kind in each reading (one or two)."""
         w = (text or "").split()
         if len(self.ids) > self.most:
             self.clear()
@@ -101,33 +102,34 @@ class Canon:
         t = self.table[ids]
         begins = np.ones(len(w), bool)
         begins[1:] = t[:-1, 3] == 1
-        kind = np.where((t[:, 1] == NAME) & begins, LITERAL, t[:, 1])
-        value, n = t[:, 0].astype(np.uint64), t[:, 2]
+        first = (t[:, 1] == NAME) & begins
+        kind, value, n = t[:, 1], t[:, 0].astype(np.uint64), t[:, 2]
         if (n != 1).any():
             place = ragged(n)
             source = np.repeat(ids, n)
-            kind, value = np.repeat(kind, n), np.repeat(value, n)
+            kind, value, first = np.repeat(kind, n), np.repeat(value, n), np.repeat(first, n)
             second = np.flatnonzero(place == 1)
             kind[second] = UNIT
             value[second] = np.array([self.units[i] for i in source[second].tolist()], np.uint64)
         after = np.zeros(len(kind), bool)
         after[1:] = kind[:-1] == NUM
         kind = np.where((kind == UNIT) & ~after, LITERAL, kind)
-        return np.where(kind == LITERAL, value, _KIND_HASH[kind]), kind, value
+        kinds = [np.where(first, LITERAL, kind), *([kind] if first.any() else [])]
+        return value, [(np.where(x == LITERAL, value, _KIND_HASH[x]), x) for x in kinds]
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether it has two plain words or more."""
+    """Hash of each window, and its number of plain words."""
     n = len(hashes) - WIDTH + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     out = np.zeros(n, np.uint64)
     plain = np.zeros(n, np.int64)
     for j in range(WIDTH):
         x = hashes[j : j + n]
         out += (x ^ (x >> np.uint64(29))) * _MULT[j]
         plain += kinds[j : j + n] == LITERAL
-    return out ^ (out >> np.uint64(32)), plain >= 2
+    return out ^ (out >> np.uint64(32)), plain
 
 
 class Index:
@@ -135,25 +137,33 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         canon = Canon()
-        self.items, hs, owner, place = [], [], [], []
+        self.items, hs, owner, place, reading = [], [], [], [], []
         for item_id, text in items:
-            h, kind, value = canon.tokens(text)
-            wh, ok = windows(h, kind)
+            value, reads = canon.tokens(text)
+            found = [windows(*x) for x in reads]
+            ok = found[0][1] >= 2
             if not ok.any():
                 continue
-            at = np.flatnonzero(ok)
-            hs.append(wh[at])
-            owner.append(np.full(len(at), len(self.items)))
-            place.append(at)
-            self.items.append((item_id, len(at), h, kind, value))
-        self.hash, self.owner, self.place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hs, owner, place))
+            for r, (wh, plain) in enumerate(found):
+                # A window of the second reading stands where one of the first does; with no plain word it would be any.
+                at = np.flatnonzero(ok if r == 0 else ok & (plain >= 1) & (wh != found[0][0]))
+                hs.append(wh[at])
+                owner.append(np.full(len(at), len(self.items)))
+                place.append(at)
+                reading.append(np.full(len(at), r))
+            self.items.append((item_id, int(ok.sum()), [kind for _, kind in reads], value))
+        self.hash, self.owner, self.place, self.reading = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hs, owner, place, reading))
         order = np.argsort(self.hash, kind="stable")
-        self.hash, self.owner, self.place = self.hash[order], self.owner[order], self.place[order]
+        self.hash, self.owner, self.place, self.reading = self.hash[order], self.owner[order], self.place[order], self.reading[order]
 
     def search(self, canon: Canon, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item_id, matched windows, windows, slots with another value) for each item found in the text."""
-        h, kind, value = canon.tokens(text)
-        wh, _ = windows(h, kind)
+        value, reads = canon.tokens(text)
+        found = [windows(*x)[0] for x in reads]
+        wh, spot = found[0], np.arange(len(found[0]))
+        if len(found) > 1:
+            other = np.flatnonzero(found[1] != found[0])
+            wh, spot = np.concatenate([wh, found[1][other]]), np.concatenate([spot, other])
         if not len(wh) or not len(self.hash):
             return []
         lo = np.searchsorted(self.hash, wh, "left")
@@ -162,12 +172,12 @@ class Index:
             return []
         n = np.searchsorted(self.hash, wh[at], "right") - lo[at]
         entry = np.repeat(lo[at], n) + ragged(n)
-        p, owner, q = np.repeat(at, n), self.owner[entry], self.place[entry]
+        p, owner, q, reading = np.repeat(spot[at], n), self.owner[entry], self.place[entry], self.reading[entry]
         found = []
         for k in np.unique(owner).tolist():
-            item_id, total, ih, ikind, ivalue = self.items[k]
+            item_id, total, ikinds, ivalue = self.items[k]
             mine = owner == k
-            mp, mq = p[mine], q[mine]
+            mp, mq, mr = p[mine], q[mine], reading[mine]
             if len(np.unique(mq)) < SHARE * total:
                 continue
             band = (mp - mq) // DRIFT
@@ -175,19 +185,19 @@ class Index:
             for b in np.unique(band).tolist():
                 near = (band == b) | (band == b + 1)
                 if len(np.unique(mq[near])) >= max(SHARE * total, best[0] + 1):
-                    best = max(best, self._consistent(mp[near], mq[near], ikind, ivalue, h, kind, value))
+                    best = max(best, self._consistent(mp[near], mq[near], mr[near], ikinds, ivalue, value))
             if best[0] >= SHARE * total:
                 found.append((item_id, best[0], total, best[1]))
         return found
 
     @staticmethod
-    def _consistent(p, q, ikind, ivalue, h, kind, value) -> tuple[int, int]:
+    def _consistent(p, q, reading, ikinds, ivalue, value) -> tuple[int, int]:
         """Windows with slots that agree with those of the windows before, and slots whose value is another."""
         to: dict = {}
         back: dict = {}
         seen, changed = set(), set()
-        for x in np.lexsort((p, q)).tolist():
-            a, b = int(p[x]), int(q[x])
+        for x in np.lexsort((reading, p, q)).tolist():
+            a, b, ikind = int(p[x]), int(q[x]), ikinds[reading[x]]
             if b in seen:
                 continue
             pairs = [(int(ikind[b + j]), int(ivalue[b + j]), int(value[a + j])) for j in range(WIDTH) if ikind[b + j] != LITERAL]

@@ -145,6 +145,17 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(docs_of(spark, []), bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_names_that_begin_sentences(spark):
+    item = "Anna has 12 apples in a basket. Tom brings her 7 more from the garden behind the house. Anna then eats 3 of them. Tom weighs the rest at 500 grams on the kitchen scale. How many apples are left?"
+    swap = lambda t, *pairs: functools.reduce(lambda x, y: x.replace(*y), pairs, t)
+    changed = swap(item, ("Anna", "Maria"), ("Tom", "Peter"), ("12", "30"), ("7", "9"), ("500", "2"), ("grams", "pounds"))
+    mixed = item.replace("Anna has", "Zoe has").replace("Tom brings", "Peter brings").replace("Anna then", "Bea then").replace("Tom weighs", "Carl weighs").replace("12", "30").replace("7", "9")
+    pad = " ".join(words_of(80, 2))
+    docs = docs_of(spark, [(1, f"{pad}. {changed} {pad}"), (2, f"{pad}. {item} {pad}"), (3, f"{pad} {mixed} {pad}"), (4, item.lower()), (5, pad)])
+    got = {r["doc_id"]: (r["matched"], r["windows"]) for r in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert {1, 2} <= set(got) <= {1, 2, 4} and got[1][0] == got[1][1] == got[2][0]
+
+
 def brute_neighbours(rows, queries, k):
     ok = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
     out = {}
