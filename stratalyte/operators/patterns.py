@@ -10,6 +10,7 @@ from stratalyte.functions.byteview import BYTES_SQL, map_bytes, repeat_profile
 from stratalyte.plans.registry import query, table
 
 TOP = 16
+PATTERN_BUFFER = 4096
 _NEXT = "nx as (select doc_id, pos, b, lead(b) over (partition by doc_id order by pos) as nb from bytes)"
 
 
@@ -146,6 +147,31 @@ def prediction_candidates(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("best", F.row_number().over(w) == 1)
 
 
+@query("prediction_scores", f"""with {BYTES_SQL}, l as (select doc_id, b, count(*) as c, max(pos) as last, count(*) filter (where pos >= n - {PATTERN_BUFFER}) / least(n, {PATTERN_BUFFER}) as pattern from bytes join totals using (doc_id) group by doc_id, b, n),
+s as (select l.doc_id, b, c, pattern, c / n as freq, exp(-(n - 1 - last) / 64.0) as recency, h / 8 as ent from l join totals using (doc_id) join ent using (doc_id)),
+r as (select *, row_number() over (partition by doc_id order by c desc, b) as k from s),
+f as (select doc_id, b, k, round((0.3 * (1 - ent) + 0.25 * freq + 0.3 * pattern + 0.15 * recency)::double, 6) as score from r where k <= {TOP})
+select doc_id, b as byte, k::int as rank, score, (row_number() over (partition by doc_id order by score desc, b) = 1) as best from f""")
+def prediction_scores(spark: SparkSession, d: str) -> DataFrame:
+    """`prediction_candidates` with the fourth factor, the byte's share of the pattern buffer: the last 4096 bytes (the size is the feature)."""
+
+    def top(b: np.ndarray) -> tuple[list[int], list[int], list[int], list[int], int, float]:
+        n = np.bincount(b, minlength=256)
+        late = np.bincount(b[-PATTERN_BUFFER:], minlength=256)
+        last = np.full(256, -1)
+        last[b] = np.arange(len(b))
+        order = np.lexsort((np.arange(256), -n))[: min(TOP, int((n > 0).sum()))]
+        p = n[n > 0] / max(1, len(b))
+        return order.tolist(), n[order].tolist(), last[order].tolist(), late[order].tolist(), len(b), float(-(p * np.log2(p)).sum())
+
+    p = map_bytes(table(spark, d, "documents"), "doc_id", "text", top, {"byte": "array<int>", "c": "array<long>", "last": "array<long>", "late": "array<long>", "n": "long", "h": "double"})
+    x = p.select("doc_id", "n", "h", F.posexplode(F.arrays_zip("byte", "c", "last", "late")).alias("k", "x"))
+    score = 0.3 * (1 - F.col("h") / 8) + 0.25 * F.col("x.c") / F.col("n") + 0.3 * F.col("x.late") / F.least("n", F.lit(PATTERN_BUFFER)) + 0.15 * F.exp(-(F.col("n") - 1 - F.col("x.last")) / 64.0)
+    s = x.select("doc_id", F.col("x.byte").alias("byte"), (F.col("k") + 1).alias("rank"), F.round(score, 6).alias("score"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "byte")
+    return s.withColumn("best", F.row_number().over(w) == 1)
+
+
 @query("prediction_feedback", """
 with p as (select user_id, ts, event_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as guess from events)
 select user_id, count(*)::bigint as guesses, count(*) filter (where guess = event_type)::bigint as correct, round(avg((guess = event_type)::int), 6) as accuracy from p where guess is not null group by user_id""")
