@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, ragged
 from .tokens import default_tokenizer, encoder
 
 BUCKET_ROWS = 50_000
@@ -171,16 +171,19 @@ def cut(docs: DataFrame, *, length: int, end_id: int, tokenizer: str | None = No
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            rows: list[tuple] = []
-            for d, own in zip(b.column("doc_id").to_pylist(), enc.encode_many(t.as_py() for t in b.column("text"))):
-                ids = np.append(own, np.int32(end_id)).astype("<u4")
-                for lo in range(0, len(ids), length):
-                    piece = ids[lo : lo + length]
-                    rows.append((d, lo, len(piece), zlib.crc32(piece.tobytes()), len(ids)) + ((piece.astype(np.int32),) if with_ids else ()))
-            cols = [pa.array(c, pa.int64()) for c in list(zip(*rows))[:5]] if rows else [pa.array([], pa.int64())] * 5
-            if with_ids:
-                cols.append(pa.array([r[5] for r in rows], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            doc = b.column("doc_id")
+            for lo, ids, at in enc.encode_column(b.column("text"), end_id):
+                size = np.diff(at)
+                n = -(-size // length)
+                row, start = np.repeat(np.arange(len(size)), n), ragged(n) * length
+                first = at[:-1][row] + start
+                taken = np.minimum(size[row] - start, length)
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(first.tolist(), (first + taken).tolist())]
+                cols = [doc.take(pa.array(lo + row)), pa.array(start), pa.array(taken), pa.array(crc, pa.int64()), pa.array(size[row])]
+                if with_ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(first, at[-1]).astype(np.int32)), pa.array(ids.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return thin.mapInArrow(of, ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names))

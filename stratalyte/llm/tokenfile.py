@@ -269,14 +269,15 @@ def write_tokens(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(counts.sum())], pa.int64()), pa.array([record], pa.binary())], ["part", "seq", "n_ids", "record"])
 
         for b in batches:
-            for part, d, own in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), enc.encode_many(t.as_py() for t in b.column("text"))):  # noqa: B007
-                ids = np.append(own, np.int32(end_id))
-                docs_.append(d)
-                held.append(ids)
-                total += len(ids)
-                if total >= record_ids:
-                    yield flush()
-                    docs_, held, total, seq = [], [], 0, seq + 1
+            part, doc_ids = b.column("part")[0].as_py() if b.num_rows else 0, b.column("doc_id").to_pylist()
+            for lo, ids, at in enc.encode_column(b.column("text"), end_id):
+                for k, (x, y) in enumerate(zip(at.tolist(), at[1:].tolist()), lo):
+                    docs_.append(doc_ids[k])
+                    held.append(ids[x:y])
+                    total += y - x
+                    if total >= record_ids:
+                        yield flush()
+                        docs_, held, total, seq = [], [], 0, seq + 1
         if held:
             yield flush()
 

@@ -1,24 +1,24 @@
-"""Token ids of whole texts with the tokenizers library, encoding each distinct white-space chunk once.
+"""Token ids of whole texts with the tokenizers library, encoding each distinct word once.
 
 The vocabulary's pre-tokenizer never joins pieces across white space, so the ids of a text are the ids of its
-chunks one after another. Chunks are remembered between batches in a table of bounded size.
+chunks (the runs between ASCII white space) one after another. Arrow cuts a group of texts into chunks and numbers
+the distinct ones; only those are looked up, in a memory of words of bounded size.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import ragged
 
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 _MARK = "|"
-_ENDS = {".": 1, ",": 2}
-_SPACE = re.compile("[\t-\r ]+")
+_ENDS = (".", ",")
 _KEPT: dict = {}
 
 
@@ -29,44 +29,24 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids[0]
-        self.end_ids = np.array([0, *(self.tokenizer.encode(x, add_special_tokens=False).ids[0] for x in _ENDS)], np.int32)
+        self.model = self.tokenizer.model
+        self.mark = self._encode(_MARK)[0]
+        self.end_ids = np.array([0, *(self._encode(x)[0] for x in _ENDS)], np.uint32)
         self.most = most
         self._clear()
 
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def _clear(self) -> None:
-        self.ids: dict[str, int] = {}
         self.base: dict[str, int] = {}
         self.start, self.length, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
-        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
-
-    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all chunks and how many each has. Chunks go through the library together, with a mark between them."""
-        odd = [i for i, x in enumerate(chunks) if _MARK in x]
-        plain = [_MARK if _MARK in x else x for x in chunks] if odd else chunks
-        ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(plain) + f" {_MARK}", add_special_tokens=False).ids, np.int32)
-        if odd:
-            # A chunk with the mark in it stands for itself as a mark here; its own ids come from a call of their own.
-            ends = np.flatnonzero(ids == self.mark)
-            own = {i: np.array(self.tokenizer.encode(chunks[i], add_special_tokens=False).ids, np.int32) for i in odd}
-            parts, at, k = [], 0, 0
-            for i in range(len(chunks)):
-                if i in own:
-                    parts.append(own[i])
-                    k += 1
-                else:
-                    parts.append(ids[at : ends[k]])
-                at = ends[k] + 1
-                k += 1
-            return np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
-        ends = np.flatnonzero(ids == self.mark)
-        n = np.diff(ends, prepend=-1) - 1
-        return ids[ids != self.mark], n
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _append(self, new: np.ndarray, n: np.ndarray) -> range:
         """Entries for runs of ids of the lengths n."""
@@ -81,67 +61,94 @@ class ChunkEncoder:
         self.used += len(new)
         return range(self.n - len(n), self.n)
 
-    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = self.length[at]
-        return self.flat[np.repeat(self.start[at], n) + ragged(n)], n
-
-    def _learn(self, chunks: list[str]) -> None:
-        """A Latin word is looked up by its lower-case form, without a full stop or comma after it: the vocabulary
-        lower-cases, and splits letters from marks."""
-        keys, ends = [], []
-        for c in chunks:
-            e = _ENDS.get(c[-1], 0)
-            body = c[:-1] if e else c
-            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
-                keys.append(body.lower())
-                ends.append(e)
-            else:
-                keys.append(c)
-                ends.append(0)
-        new = [k for k in dict.fromkeys(keys) if k not in self.base]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            self.base.update(zip(part, self._append(*self._ids(part))))
-        at = np.array([self.base[k] for k in keys], np.int64)
-        end = np.array(ends)
-        if (more := np.flatnonzero(end)).size:
-            ids, n = self._gather(at[more])
-            ids = np.insert(ids, np.cumsum(n), self.end_ids[end[more]])
-            made = self._append(ids, n + 1)
-            at[more] = np.arange(made.start, made.stop)
-        self.ids.update(zip(chunks, at.tolist()))
-
-    def encode_many(self, texts: Iterable[str | None], group_chars: int = 2_000_000) -> Iterator[np.ndarray]:
-        """Ids of each text, in order. Texts are looked up in groups of about `group_chars` characters."""
-        chunks: list[str] = []
-        sizes: list[int] = []
-        held = 0
-        for text in texts:
-            text = text or ""
-            own = [x for x in _SPACE.split(text) if x] if _SEPARATORS.search(text) else text.split()
-            chunks += own
-            sizes.append(len(own))
-            held += len(text)
-            if held >= group_chars:
-                yield from self._look_up(chunks, sizes)
-                chunks, sizes, held = [], [], 0
-        yield from self._look_up(chunks, sizes)
-
-    def _look_up(self, chunks: list[str], sizes: list[int]) -> Iterator[np.ndarray]:
-        if len(self.ids) > self.most:
+    def _learn(self, keys: list[str]) -> None:
+        """Words of the letters a to z are one piece to the pre-tokenizer and go to the model as they are. Others go
+        through the whole tokenizer together, with a mark between them, or alone if they hold the mark."""
+        plain = [k for k in keys if k.isascii() and k.isalpha() and k.islower()]
+        if plain:
+            tokenize = self.model.tokenize
+            runs = [[t.id for t in tokenize(k)] for k in plain]
+            n = np.fromiter(map(len, runs), np.int64, len(runs))
+            self.base.update(zip(plain, self._append(np.fromiter((i for r in runs for i in r), np.uint32, int(n.sum())), n)))
+        rest = [k for k in keys if k not in self.base]
+        marked = [k for k in rest if _MARK in k or not k]
+        joined = [k for k in rest if _MARK not in k and k]
+        for lo in range(0, len(joined), 1000):
+            part = joined[lo : lo + 1000]
+            ids = np.array(self._encode(f" {_MARK} ".join(part) + f" {_MARK}"), np.uint32)
+            ends = np.flatnonzero(ids == self.mark)
+            self.base.update(zip(part, self._append(ids[ids != self.mark], np.diff(ends, prepend=-1) - 1)))
+        for k in marked:
+            ids = np.array(self._encode(k) if k else [], np.uint32)
+            self.base.update(zip([k], self._append(ids, np.array([len(ids)]))))
+
+    @staticmethod
+    def _keys(chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """What each chunk is looked up by, and the mark that follows it. A Latin word goes by its lower-case form
+        without a full stop or comma after it: the vocabulary lower-cases, and splits letters from marks."""
+        ends = np.zeros(len(chunks), np.int8)
+        for i, x in enumerate(_ENDS, 1):
+            ends[pc.ends_with(chunks, x).to_numpy(zero_copy_only=False)] = i
+        body = pc.if_else(pa.array(ends > 0), pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+        word = pc.ascii_is_alpha(body).to_numpy(zero_copy_only=False)
+        keys = pc.if_else(pa.array(word), pc.ascii_lower(body), chunks)
+        other = np.flatnonzero(~pc.string_is_ascii(chunks).to_numpy(zero_copy_only=False))
+        if len(other):
+            found = [(b.lower(), True) if b.isalpha() and b.lower().isalpha() and max(b) < "\u0250" else (c, False) for b, c in zip(body.take(pa.array(other)).to_pylist(), chunks.take(pa.array(other)).to_pylist())]
+            word[other] = [w for _, w in found]
+            at = np.zeros(len(chunks), bool)
+            at[other] = True
+            keys = pc.replace_with_mask(keys, pa.array(at), pa.array([k for k, _ in found], keys.type))
+        return keys, np.where(word, ends, 0)
+
+    def _look_up(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.base) > self.most:
             self._clear()
-        at = np.fromiter(map(self.ids.get, chunks, repeat(0)), np.int64, len(chunks))
+        split = pc.ascii_split_whitespace(texts)
+        offsets = split.offsets.to_numpy()
+        coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets = offsets - offsets[0]
+        keys, ends = self._keys(coded.dictionary)
+        key_codes = keys.dictionary_encode()
+        names = key_codes.dictionary.to_pylist()
+        at = np.fromiter(map(self.base.get, names, repeat(0)), np.int64, len(names))
         if (miss := np.flatnonzero(at == 0)).size:
-            missing = [chunks[i] for i in miss.tolist()]
-            self._learn(list(dict.fromkeys(missing)))
-            at[miss] = np.fromiter(map(self.ids.__getitem__, missing), np.int64, len(missing))
-        ids, n = self._gather(at)
-        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])].tolist()
-        for lo, hi in zip(ends, ends[1:]):
-            yield ids[lo:hi]
+            missing = [names[i] for i in miss.tolist()]
+            self._learn(missing)
+            at[miss] = np.fromiter(map(self.base.__getitem__, missing), np.int64, len(missing))
+        # Ids of the distinct chunks one after another, then those of all chunks from there.
+        at = at[key_codes.indices.to_numpy()]
+        own = self.length[at]
+        n = own + (ends > 0)
+        starts = np.cumsum(n) - n
+        table = np.zeros(int(n.sum()), np.uint32)
+        inner = ragged(own)
+        table[np.repeat(starts, own) + inner] = self.flat[np.repeat(self.start[at], own) + inner]
+        marked = np.flatnonzero(ends)
+        table[starts[marked] + own[marked]] = self.end_ids[ends[marked]]
+        word = coded.indices.to_numpy()
+        if end_id is not None:  # one more entry, at the end of each text
+            starts, n, table = np.append(starts, len(table)), np.append(n, 1), np.append(table, np.uint32(end_id))
+            word = np.insert(word, offsets[1:], len(starts) - 1)
+            offsets = offsets + np.arange(len(offsets))
+        n = n[word]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = table[np.repeat(starts[word] - before[:-1], n) + np.arange(before[-1])]
+        return ids, before[offsets]
+
+    def encode_column(self, texts: pa.Array, end_id: int | None = None, group_bytes: int = 6_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each group of texts of about `group_bytes`: its first row, the ids of its texts one after another, and
+        where each begins (with the end of the last)."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + group_bytes, "right")))
+            yield lo, *self._look_up(texts.slice(lo, hi - lo), end_id)
+            lo = hi
 
     def encode(self, text: str | None) -> np.ndarray:
-        return next(self.encode_many([text]))
+        return next(self.encode_column(pa.array([text], pa.string())))[1]
 
 
 def encoder(path: str) -> ChunkEncoder:
