@@ -1,21 +1,24 @@
 """Token-id files: an adaptive context-mixing range coder over ids.
 
-Each id is a path in the record's prefix-code tree, one binary decision a level. Three adaptive predictions of a
-decision (under no context, the id before, and the two ids before) are mixed in the logistic domain with weights
-that learn as they go, and the mix drives a binary range coder. Blocks of ids are reset and checksummed one by one;
-many blocks of a record are coded side by side, one array element each, in integer arithmetic only, so every
-machine decodes the same bits.
+Three predictions of each id are mixed: order 2 and order 1 each name the id that last followed the same two ids or
+the same id, and order 0 gives every id a frequency (one of eight tables, the one nearest to the block's own counts).
+The weights of the mixture depend on which predictions there are, whether they agree, and how many ids before were
+foretold, and learn from each block's own hits. The mixture's interval of the id narrows a 64-bit range coder: one
+step an id, whichever prediction it falls to. Blocks of ids are reset and checksummed one by one; many blocks of a
+record are coded side by side, one array element each, in integer arithmetic only, so every machine decodes the
+same bits.
 
-A record (magic ACM1) holds whole documents in ascending doc_id order: their ids and counts, the tree, a table of
-blocks (decisions, bytes, crc32) and the block bytes. Records are rows of a Parquet folder in the shared storage.
+A record (magic ACM2) holds whole documents in ascending doc_id order: their ids and counts, the frequency tables,
+a table of blocks (kind of frequencies, bytes, crc32) and the block bytes. Records are rows of a Parquet folder in
+the shared storage.
 
 Defined results: a null or empty text has its end id alone; a null doc_id sorts first and stays null; rows with
-equal doc_id stand one after another, ordered by text; a wrong checksum raises; an empty table makes no records.
+equal doc_id stand one after another, ordered by text; a wrong checksum raises; an empty table makes no records;
+more than 2^19 different ids in a record raise.
 """
 
 from __future__ import annotations
 
-import heapq
 import struct
 import uuid
 import zlib
@@ -29,186 +32,248 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 from .tokens import default_tokenizer, encoder
 
-MAGIC = b"ACM1"
+MAGIC = b"ACM2"
 BLOCK_IDS = 2048
 LANES = 2048
 RECORD_IDS = BLOCK_IDS * LANES
-SLOT_BITS = 12
+SLOT_BITS = 11
+#: Weights are in 1/1024; they are worked out anew every GROUP ids.
+WEIGHT_BITS, GROUP, KINDS = 10, 32, 8
+#: States of the mixture: predictions (none, order 1, both and different, both and equal) times ids foretold in a row (0 to 3).
+STATES = 16
+#: What the counts of a state start from: events, hits of order 2, hits of order 1.
+PRIOR = np.zeros((3, STATES), np.int64)
+PRIOR[0], PRIOR[1, 8:12], PRIOR[1, 12:], PRIOR[2, 4:8], PRIOR[2, 8:12] = 32, 8, 16, 6, 3
+#: Frequencies are stored as levels, four to each power of two.
+LEVEL = np.array([(16, 19, 23, 27)[k % 4] << k // 4 for k in range(128)], np.int64)
+#: Blocks are told apart by their counts of so many of the most frequent ids.
+TOLD_BY = 1024
 _HEAD = struct.Struct("<4sIQIII")
-_X = np.arange(-2047, 2048)
-#: Logistic function on 12 bits, and its inverse; made with Python integers' rounding, the same everywhere.
-SQUASH = np.clip((4096 / (1 + np.exp(-_X / 256.0))).round().astype(np.int32), 1, 4095)
-STRETCH = np.clip((256 * np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096)))).round().astype(np.int32), -2047, 2047)
-_M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-
-
-def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Lengths of a prefix code for symbols with these counts (all over zero)."""
-    k = len(counts)
-    if k == 1:
-        return np.ones(1, np.uint8)
-    heap = [(int(c), i) for i, c in enumerate(counts)]
-    heapq.heapify(heap)
-    parent = np.zeros(2 * k - 1, np.int64)
-    for n in range(k, 2 * k - 1):
-        a, b = heapq.heappop(heap), heapq.heappop(heap)
-        parent[a[1]] = parent[b[1]] = n
-        heapq.heappush(heap, (a[0] + b[0], n))
-    depth = np.zeros(2 * k - 1, np.uint8)
-    for n in range(2 * k - 3, -1, -1):
-        depth[n] = depth[parent[n]] + 1
-    return depth[:k]
-
-
-class Tree:
-    """The canonical code of the lengths: code and length of each symbol, and the two children of each node."""
-
-    def __init__(self, lengths: np.ndarray):
-        order = np.lexsort((np.arange(len(lengths)), lengths))
-        self.length = lengths.astype(np.int32)
-        self.code = np.zeros(len(lengths), np.uint32)
-        child = [0, 0]
-        code, at = 0, int(lengths[order[0]])
-        for s in order.tolist():
-            n = int(lengths[s])
-            code <<= n - at
-            at = n
-            self.code[s] = code
-            node = 0
-            for bit in range(n - 1, 0, -1):
-                slot = 2 * node + (code >> bit & 1)
-                if not child[slot]:
-                    child[slot] = len(child) // 2
-                    child += [0, 0]
-                node = child[slot]
-            child[2 * node + (code & 1)] = ~s
-            code += 1
-        self.child = np.array(child, np.int32)
-        self.nodes = len(child) // 2
-
-
-def _code(tree: Tree, decisions: np.ndarray, lanes: np.ndarray | None, data: list[bytes] | None, width: int):
-    """Code blocks side by side. With `lanes` (symbols, a row each) it encodes and returns their bytes; with `data` it decodes into rows of `width`."""
-    n_all = len(decisions)
-    order = np.argsort(-decisions.astype(np.int64), kind="stable")
-    decisions = decisions[order]
-    encode = lanes is not None
-    size = 1 << SLOT_BITS
-    lane = np.arange(n_all, dtype=np.int64)
-    t0 = np.full(n_all * tree.nodes, 32768, np.uint16)
-    t1 = np.full(n_all * size, 32768, np.uint16)
-    t2 = np.full(n_all * size, 32768, np.uint16)
-    b0, b1 = lane * tree.nodes, lane * size
-    x1, x2 = np.zeros(n_all, np.uint32), np.full(n_all, 0xFFFFFFFF, np.uint32)
-    w0, w1, w2 = (np.full(n_all, w, np.int32) for w in (30000, 16000, 16000))
-    h1, h2 = np.zeros(n_all, np.uint32), np.zeros(n_all, np.uint32)
-    node = np.zeros(n_all, np.int32)
-    pos = np.zeros(n_all, np.int64)
-    if encode:
-        sym = lanes[order]
-        code, left = tree.code[sym[:, 0]], tree.length[sym[:, 0]].astype(np.uint32)
-        out = np.zeros((n_all, 2 * sym.shape[1] + 64), np.uint8)
-        put = np.zeros(n_all, np.int64)
-    else:
-        sizes = np.array([len(data[i]) for i in order.tolist()], np.int64)
-        base = np.cumsum(sizes + 8) - (sizes + 8)
-        flat = np.zeros(int((sizes + 8).sum()), np.uint8)
-        for i, b in zip(order.tolist(), base.tolist()):
-            flat[b : b + len(data[i])] = np.frombuffer(data[i], np.uint8)
-        x = np.zeros(n_all, np.uint32)
-        for j in range(4):
-            x = x << np.uint32(8) | flat[base + j]
-        at = base + 4
-        got = np.zeros((n_all, width), np.int32)
-    ends = np.searchsorted(-decisions, -np.arange(int(decisions[0]) + 1 if n_all else 1), "left")  # lanes still open at each step
-    n, high, eight = n_all, np.uint32(0xFF000000), np.uint32(8)
-    for step in range(int(decisions[0]) if n_all else 0):
-        if ends[step] < n:
-            n = int(ends[step])
-            b0, b1, lane = b0[:n], b1[:n], lane[:n]
-            node, pos, h1, h2, w0, w1, w2 = node[:n], pos[:n], h1[:n], h2[:n], w0[:n], w1[:n], w2[:n]
-            if encode:
-                code, left = code[:n], left[:n]
-        a1, a2 = x1[:n], x2[:n]
-        mixed = node.view(np.uint32) * _M1
-        i0 = b0 + node
-        i1 = b1 + ((h1 ^ mixed) * _M2 >> np.uint32(32 - SLOT_BITS))
-        i2 = b1 + ((h2 ^ mixed) * _M2 >> np.uint32(32 - SLOT_BITS))
-        p0, p1, p2 = t0.take(i0).astype(np.int32), t1.take(i1).astype(np.int32), t2.take(i2).astype(np.int32)
-        s0, s1, s2 = STRETCH.take(p0 >> 4), STRETCH.take(p1 >> 4), STRETCH.take(p2 >> 4)
-        dot = w0 * s0 + w1 * s1 + w2 * s2 >> 16
-        np.clip(dot, -2047, 2047, out=dot)
-        p = SQUASH.take(dot + 2047)
-        mid = a1 + (a2 - a1 >> np.uint32(12)) * p.view(np.uint32)
-        if encode:
-            left -= np.uint32(1)
-            y = (code >> left & np.uint32(1)).astype(bool)
-        else:
-            y = x[:n] <= mid
-        np.copyto(a2, mid, where=y)
-        np.copyto(a1, mid + np.uint32(1), where=~y)
-        yi = y.view(np.int8).astype(np.int32)
-        err = ((yi << 12) - p) * 12
-        w0 += s0 * err + 32768 >> 16
-        w1 += s1 * err + 32768 >> 16
-        w2 += s2 * err + 32768 >> 16
-        goal = yi * 65535
-        t0[i0] = p0 + (goal - p0 >> 4)
-        t1[i1] = p1 + (goal - p1 >> 3)
-        t2[i2] = p2 + (goal - p2 >> 2)
-        node = tree.child.take(2 * node + yi)
-        if (done := np.flatnonzero(node < 0)).size:
-            s = ~node[done]
-            node[done] = 0
-            if not encode:
-                got[done, pos[done]] = s
-            pos[done] += 1
-            su = (s.view(np.uint32) + np.uint32(1)) * np.uint32(0xC2B2AE35)
-            h2[done] = (h1[done] * np.uint32(0x27D4EB2F)) ^ su
-            h1[done] = su
-            if encode:
-                nxt = done[pos[done] < sym.shape[1]]
-                v = sym[nxt, pos[nxt]]
-                code[nxt], left[nxt] = tree.code[v], tree.length[v]
-        m = np.flatnonzero(((a1 ^ a2) & high) == 0)
-        while m.size:
-            if encode:
-                out[m, put[m]] = a2[m] >> np.uint32(24)
-                put[m] += 1
-            else:
-                x[m] = x[m] << eight | flat.take(at[m], mode="clip")
-                at[m] += 1
-            a1[m] <<= eight
-            a2[m] = a2[m] << eight | np.uint32(255)
-            m = m[((a1[m] ^ a2[m]) & high) == 0]
-        if encode and not step & 255 and int(put.max()) + 1024 > out.shape[1]:
-            out = np.concatenate([out, np.zeros_like(out)], axis=1)
-    if not encode:
-        back = np.empty_like(order)
-        back[order] = np.arange(n_all)
-        return got[back]
-    result: list[bytes] = [b""] * n_all
-    for k, i in enumerate(order.tolist()):
-        result[i] = out[k, : put[k]].tobytes() + struct.pack(">I", int(x1[k]))
-    return result
+_A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+_32, _LEAST, _FULL = np.uint64(32), np.uint64(1 << 32), np.uint64(2**64 - 1)
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    return np.clip(np.searchsorted(LEVEL, counts * 16, "right") - 1, 0, 127).astype(np.uint8)
+
+
+def block_kinds(rows: np.ndarray, counts: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """Which frequency table suits each block (a column of `rows`): split by the signs along the main axes of the counts, then moved to the table that costs least."""
+    n = rows.shape[1]
+    top = np.argsort(-counts, kind="stable")[: TOLD_BY - 1]
+    place = np.full(len(counts), min(TOLD_BY, len(counts)) - 1, np.int64)
+    place[top] = np.arange(len(top))
+    width = int(place.max()) + 1
+    c = np.bincount((place[rows] + np.arange(n) * width).reshape(-1), minlength=n * width).reshape(n, width).astype(np.float32)
+    x = np.sqrt(c)
+    x -= x.mean(0)
+    kind = np.zeros(n, np.int64)
+    for k in range(KINDS.bit_length() - 1):
+        axis = x[int((x * x).sum(1).argmax())]
+        for _ in range(4):
+            axis = (x @ axis) @ x
+            axis = axis / max(float(np.sqrt(axis @ axis)), 1e-30)
+        at = x @ axis
+        kind += (at > 0).astype(np.int64) << k
+        x -= at[:, None] * axis
+    for _ in range(rounds):
+        sums = np.stack([c[kind == k].sum(0) for k in range(KINDS)]) + (c.sum(0) + 1) * 1e-3
+        kind = (c @ np.log(sums / sums.sum(1, keepdims=True)).T).argmax(1)
+    return kind
+
+
+class Orders:
+    """The predictions of all blocks coded side by side: frequencies by kind, tables of the id that followed a context last, and the counts that the weights come from."""
+
+    def __init__(self, levels: np.ndarray, kind: np.ndarray):
+        self.width, n = levels.shape[1], len(kind)
+        self.bits = np.uint32(18 if self.width <= 1 << 14 else 20)
+        whole = 1 << int(self.bits)
+        f = LEVEL[levels]
+        f = f * (whole - self.width) // f.sum(1, keepdims=True) + 1
+        f[np.arange(len(f)), f.argmax(1)] += whole - f.sum(1)
+        self.freq, self.cum = f.astype(np.uint32).reshape(-1), (np.cumsum(f, 1) - f).astype(np.uint32).reshape(-1)
+        self.range_shift = np.uint64(int(self.bits) + WEIGHT_BITS)
+        self.own, self.own_slots = kind.astype(np.int64) * self.width, kind.astype(np.int64) << int(self.bits)
+        self.type = np.uint16 if self.width < 65535 else np.uint32
+        self.base = np.arange(n, dtype=np.int64) << SLOT_BITS
+        self.t1, self.t2 = np.zeros(n << SLOT_BITS, self.type), np.zeros(n << SLOT_BITS, self.type)
+        #: Events, and hits of either order at 20 bits more each: a block has fewer than 2^20 ids.
+        self.counts = np.zeros(n * STATES, np.int64)
+        self.lane = np.arange(n, dtype=np.int64) * STATES
+
+    def slots(self) -> np.ndarray:
+        """The id of each unit of frequency, for all kinds."""
+        return np.repeat(np.arange(len(self.freq)) % self.width, self.freq).astype(self.type)
+
+    def places(self, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shift, a = np.uint32(32 - SLOT_BITS), last * _A
+        return self.base + (a >> shift), self.base + ((a ^ before * _B) * _C >> shift)
+
+    def states(self, p1: np.ndarray, p2: np.ndarray, run: np.ndarray) -> np.ndarray:
+        both = p2 > 0
+        s = np.maximum((both.view(np.int8) << 1) + (both & (p1 == p2)), p1 > 0)
+        return ((s << 2) + run) + self.lane
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of order 2 and order 1 in each lane and state; order 0 has at least 1/64."""
+        c = self.counts.reshape(-1, STATES)
+        n = (c & 0xFFFFF) + PRIOR[0]
+        return tuple((((c >> 20 * k & 0xFFFFF) + PRIOR[k]) * 1008 // n).astype(np.uint32).reshape(-1) for k in (1, 2))
+
+
+_ONE, _HIT2, _HIT1 = 1, 1 + (1 << 20), 1 + (1 << 40)
+
+
+def encode_blocks(rows: np.ndarray, m: Orders) -> list[bytes]:
+    """The bytes of each block; rows: places of the ids in the record's list, a column for each block."""
+    steps, n = rows.shape
+    t1, t2 = m.t1, m.t2
+    low, span = np.zeros(n, np.uint64), np.full(n, _FULL)
+    cap = steps + 4
+    out = np.zeros(n * cap, np.uint32)
+    put = np.arange(n, dtype=np.int64) * cap
+    first = put.copy()
+    v = np.zeros((GROUP + 2, n), np.uint32)  # ids plus one; those of the two steps before come first
+    hits = np.zeros((GROUP + 3, n), np.int8)
+
+    def carry(lanes: np.ndarray) -> None:
+        at = put[lanes] - 1
+        while at.size:
+            out[at] += np.uint32(1)
+            at = at[out[at] == 0] - 1
+
+    for lo in range(0, steps, GROUP):
+        g = min(GROUP, steps - lo)
+        sym = rows[lo : lo + g]
+        np.add(sym, 1, out=v[2 : g + 2], casting="unsafe")
+        i1, i2 = m.places(v[1 : g + 1], v[:g])
+        now = v[2 : g + 2].astype(m.type)
+        p1, p2 = np.empty((g, n), m.type), np.empty((g, n), m.type)
+        for t in range(g):
+            p1[t] = t1.take(i1[t])
+            t1[i1[t]] = now[t]
+            p2[t] = t2.take(i2[t])
+            t2[i2[t]] = now[t]
+        hit2 = now == p2
+        hit1 = (now == p1) & ~hit2
+        hits[3 : g + 3] = hit2 | hit1
+        s = m.states(p1, p2, hits[2 : g + 2] * (1 + hits[1 : g + 1] * (1 + hits[:g])))
+        w2, w1 = (w.take(s) for w in m.weights())
+        for at, one in ((s, _ONE), (s[hit2], _HIT2 - 1), (s[hit1], _HIT1 - 1)):
+            m.counts += np.bincount(at.reshape(-1), minlength=n * STATES) * one
+        w = w2 + w1
+        w0 = np.uint32(1 << WEIGHT_BITS) - w
+        place = sym + m.own
+        start, freq = (w << m.bits) + w0 * m.cum.take(place), w0 * m.freq.take(place)
+        np.copyto(start, w2 << m.bits, where=hit1)
+        np.copyto(freq, w1 << m.bits, where=hit1)
+        np.copyto(start, np.uint32(0), where=hit2)
+        np.copyto(freq, w2 << m.bits, where=hit2)
+        start, freq = start.astype(np.uint64), freq.astype(np.uint64)
+        for t in range(g):
+            r = span >> m.range_shift
+            add = r * start[t]
+            low += add
+            if (over := np.flatnonzero(low < add)).size:
+                carry(over)
+            np.multiply(r, freq[t], out=span)
+            short = np.flatnonzero(span < _LEAST)
+            k = low[short]
+            out[put[short]] = k >> _32
+            put[short] += 1
+            low[short] = k << _32
+            span[short] <<= _32
+        v[:2] = v[g : g + 2]
+        hits[:3] = hits[g : g + 3]
+    last = low + np.uint64(0xFFFFFFFF)
+    carry(np.flatnonzero(last < low))
+    out[put] = last >> _32
+    return [out[a : b + 1].astype(">u4").tobytes() for a, b in zip(first.tolist(), put.tolist())]
+
+
+def decode_blocks(data: list[bytes], steps: int, m: Orders) -> np.ndarray:
+    """The rows that encode_blocks took."""
+    n = len(data)
+    t1, t2, slots = m.t1, m.t2, m.slots()
+    size = np.array([len(d) // 4 for d in data], np.int64)
+    at = np.cumsum(size + 3) - (size + 3)
+    words = np.zeros(int((size + 3).sum()), np.uint64)
+    for d, b in zip(data, at.tolist()):
+        words[b : b + len(d) // 4] = np.frombuffer(d, ">u4")
+    ends = at + size + 1
+    x = words[at] << _32 | words[at + 1]
+    at += 2
+    span = np.full(n, _FULL)
+    got = np.empty((steps, n), np.uint32)
+    last, before, run = np.zeros(n, np.uint32), np.zeros(n, np.uint32), np.zeros(n, np.int8)
+    most, top, all_ = np.uint64((1 << int(m.range_shift)) - 1), np.uint32((1 << int(m.bits)) - 1), np.uint32(1 << WEIGHT_BITS)
+    for t in range(steps):
+        if t % GROUP == 0:
+            w2_of, w1_of = m.weights()
+            np.minimum(at, ends, out=at)  # damaged bytes must not lead beyond a block; the checksum tells
+        i1, i2 = m.places(last, before)
+        p1, p2 = t1.take(i1), t2.take(i2)
+        s = m.states(p1, p2, run)
+        w2, w1 = w2_of.take(s), w1_of.take(s)
+        w = w2 + w1
+        w0 = all_ - w
+        r = span >> m.range_shift
+        q = np.minimum(x // r, most).astype(np.uint32)
+        hit = (q >> m.bits) < w
+        above = w << m.bits
+        place = slots.take(np.minimum((q - above) // w0, top) + m.own_slots) + m.own
+        start, freq = above + w0 * m.cum.take(place), w0 * m.freq.take(place)
+        now = (place - m.own + 1).astype(np.uint32)
+        event = np.ones(n, np.int64)
+        if (h := np.flatnonzero(hit)).size:
+            by2 = w2[h]
+            two = (q[h] >> m.bits) < by2
+            now[h] = np.where(two, p2[h], p1[h])
+            start[h] = np.where(two, 0, by2) << m.bits
+            freq[h] = np.where(two, by2, w1[h]) << m.bits
+            event[h] = np.where(two, _HIT2, _HIT1)
+        m.counts[s] += event
+        x -= r * start
+        np.multiply(r, freq, out=span)
+        short = np.flatnonzero(span < _LEAST)
+        k = at[short]
+        x[short] = x[short] << _32 | words.take(k, mode="clip")
+        at[short] = k + 1
+        span[short] <<= _32
+        t1[i1] = now
+        t2[i2] = now
+        run = np.minimum(run + 1, 3) * hit
+        got[t] = now
+        before, last = last, now
+    got -= np.uint32(1)
+    return got
 
 
 def encode_record(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
     """One record of whole documents, whose ids stand one after another in `ids`."""
     n = len(ids)
     block = int(min(BLOCK_IDS, max(64, n // 512)))
-    symbols, sym = np.unique(ids, return_inverse=True)
-    lengths = code_lengths(np.bincount(sym, minlength=len(symbols)))
-    tree = Tree(lengths)
+    held = np.bincount(ids)
+    symbols = np.flatnonzero(held)
+    if len(symbols) > 1 << 19:
+        raise ValueError("too many different ids for one record")
+    of = np.zeros(len(held), np.int64)
+    of[symbols] = np.arange(len(symbols))
     n_blocks = -(-n // block)
-    cost = np.add.reduceat(tree.length[sym].astype(np.int64), np.arange(0, n, block))
-    crcs = [zlib.crc32(ids[lo : lo + block].astype("<u4").tobytes()) for lo in range(0, n, block)]
+    rows = np.zeros(n_blocks * block, np.int64)
+    rows[:n] = of[ids]
+    rows = np.ascontiguousarray(rows.reshape(n_blocks, block).T)
+    kind = np.concatenate([block_kinds(rows[:, lo : lo + LANES], held[symbols]) for lo in range(0, n_blocks, LANES)])
+    sums = np.zeros(KINDS * len(symbols), np.int64)
+    for lo in range(0, block, 64):
+        sums += np.bincount((rows[lo : lo + 64] + kind * len(symbols)).reshape(-1), minlength=len(sums))
+    levels = levels_of(sums.reshape(KINDS, -1))
     streams: list[bytes] = []
-    padded = np.zeros(n_blocks * block, np.int32)
-    padded[:n] = sym
-    rows = padded.reshape(n_blocks, block)
     for lo in range(0, n_blocks, LANES):
-        streams += _code(tree, cost[lo : lo + LANES], rows[lo : lo + LANES], None, block)
+        streams += encode_blocks(rows[:, lo : lo + LANES], Orders(levels, kind[lo : lo + LANES]))
+    raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+    crcs = [zlib.crc32(raw[4 * lo : 4 * (lo + block)]) for lo in range(0, n, block)]
     known = np.array([d is not None for d in doc_ids], np.uint8)
     ids64 = np.array([d or 0 for d in doc_ids], "<i8")
     parts = [
@@ -216,8 +281,8 @@ def encode_record(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray
         np.diff(ids64, prepend=np.int64(0)).tobytes(),
         counts.astype("<u4").tobytes(),
         np.diff(symbols.astype("<i8"), prepend=0).astype("<u4").tobytes(),
-        lengths.tobytes(),
-        cost.astype("<u4").tobytes(),
+        levels.tobytes(),
+        kind.astype(np.uint8).tobytes(),
         np.array(list(map(len, streams)), "<u4").tobytes(),
         np.array(crcs, "<u4").tobytes(),
     ]
@@ -233,22 +298,23 @@ def decode_record(record: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     at, parts = _HEAD.size, []
     for _ in range(8):
         (size,) = struct.unpack_from("<I", record, at)
-        parts.append(zlib.decompress(record[at + 4 : at + 4 + size]))
+        parts.append(record[at + 4 : at + 4 + size])
         at += 4 + size
     if zlib.crc32(record[_HEAD.size : at]) != crc:
         raise ValueError("header checksum differs")
+    parts = [zlib.decompress(p) for p in parts]
     known = np.unpackbits(np.frombuffer(parts[0], np.uint8), count=n_docs)
     doc_ids = [d if k else None for d, k in zip(np.cumsum(np.frombuffer(parts[1], "<i8")).tolist(), known.tolist())]
     counts = np.frombuffer(parts[2], "<u4").astype(np.int64)
-    symbols = np.cumsum(np.frombuffer(parts[3], "<u4").astype(np.int64)).astype(np.int32)
-    tree = Tree(np.frombuffer(parts[4], np.uint8))
-    cost, sizes, crcs = (np.frombuffer(p, "<u4").astype(np.int64) for p in parts[5:])
+    symbols = np.cumsum(np.frombuffer(parts[3], "<u4").astype(np.int64)).astype(np.uint32)
+    levels, kind = np.frombuffer(parts[4], np.uint8).reshape(KINDS, n_symbols), np.frombuffer(parts[5], np.uint8)
+    sizes, crcs = (np.frombuffer(p, "<u4").astype(np.int64) for p in parts[6:])
     ends = at + np.cumsum(sizes)
     streams = [record[b - s : b] for b, s in zip(ends.tolist(), sizes.tolist())]
-    rows = [_code(tree, cost[lo : lo + LANES], None, streams[lo : lo + LANES], block) for lo in range(0, len(cost), LANES)]
-    ids = symbols[np.concatenate(rows).reshape(-1)[:n]]
+    ids = np.concatenate([symbols[decode_blocks(streams[lo : lo + LANES], block, Orders(levels, kind[lo : lo + LANES])).T].reshape(-1) for lo in range(0, len(kind), LANES)])[:n]
+    raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
     for k, lo in enumerate(range(0, n, block)):
-        if zlib.crc32(ids[lo : lo + block].astype("<u4").tobytes()) != crcs[k]:
+        if zlib.crc32(raw[4 * lo : 4 * min(lo + block, n)]) != crcs[k]:
             raise ValueError(f"checksum of block {k} differs")
     return doc_ids, counts, ids
 
@@ -295,12 +361,12 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
             for part, seq, record in zip(b.column("part").to_pylist(), b.column("seq").to_pylist(), b.column("record")):
                 doc_ids, counts, ids = decode_record(record.as_py())
                 at = np.cumsum(counts) - counts
-                raw = ids.astype("<u4").tobytes()
-                crc = [zlib.crc32(memoryview(raw)[4 * a : 4 * (a + c)]) for a, c in zip(at.tolist(), counts.tolist())]
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * (a + c)]) for a, c in zip(at.tolist(), counts.tolist())]
                 n = len(doc_ids)
                 cols = [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, seq, np.int32)), pa.array(doc_ids, pa.int64()), pa.array(at), pa.array(counts), pa.array(crc, pa.int64())]
                 if with_ids:
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids)))
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     types = {"part": "int", "seq": "int", "ids": "array<int>"}
