@@ -64,7 +64,11 @@ def block_kinds(rows: np.ndarray, counts: np.ndarray, rounds: int = 3) -> np.nda
     place = np.full(len(counts), min(TOLD_BY, len(counts)) - 1, np.int64)
     place[top] = np.arange(len(top))
     width = int(place.max()) + 1
-    c = np.bincount((place[rows] + np.arange(n) * width).reshape(-1), minlength=n * width).reshape(n, width).astype(np.float32)
+    c = np.empty((n, width), np.float32)
+    for lo in range(0, n, 256):
+        part = np.ascontiguousarray(rows[:, lo : lo + 256].T)
+        at = place.take(part) + np.arange(len(part))[:, None] * width
+        c[lo : lo + 256] = np.bincount(at.reshape(-1), minlength=len(part) * width).reshape(-1, width)
     x = np.sqrt(c)
     x -= x.mean(0)
     kind = np.zeros(n, np.int64)
@@ -258,11 +262,11 @@ def encode_record(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray
     symbols = np.flatnonzero(held)
     if len(symbols) > 1 << 19:
         raise ValueError("too many different ids for one record")
-    of = np.zeros(len(held), np.int64)
+    of = np.zeros(len(held), np.int32)
     of[symbols] = np.arange(len(symbols))
     n_blocks = -(-n // block)
-    rows = np.zeros(n_blocks * block, np.int64)
-    rows[:n] = of[ids]
+    rows = np.zeros(n_blocks * block, np.int32)
+    rows[:n] = of.take(ids)
     rows = np.ascontiguousarray(rows.reshape(n_blocks, block).T)
     kind = np.concatenate([block_kinds(rows[:, lo : lo + LANES], held[symbols]) for lo in range(0, n_blocks, LANES)])
     sums = np.zeros(KINDS * len(symbols), np.int64)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,20 @@ from .common import ragged
 
 _MARK = "|"
 _ENDS = (".", ",")
+#: Letters of the Latin blocks, but for the dotted I, whose lower-case form is two characters.
+_LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 _KEPT: dict = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write a byte as its own printable character, and the others, in order, as those from 256."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+_BYTES = _byte_letters()
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -29,7 +40,7 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -61,16 +72,16 @@ class ChunkEncoder:
         self.used += len(new)
         return range(self.n - len(n), self.n)
 
-    def _learn(self, keys: list[str]) -> None:
-        """Words of the letters a to z are one piece to the pre-tokenizer and go to the model as they are. Others go
-        through the whole tokenizer together, with a mark between them, or alone if they hold the mark."""
-        plain = [k for k in keys if k.isascii() and k.isalpha() and k.islower()]
+    def _learn(self, keys: list[str], word: list[bool]) -> None:
+        """Lower-case Latin words are one piece to the pre-tokenizer and go to the model as they are. Others go through
+        the whole tokenizer together, with a mark between them, or alone if they hold the mark."""
+        plain = [k for k, w in zip(keys, word) if w]
         if plain:
             tokenize = self.model.tokenize
-            runs = [[t.id for t in tokenize(k)] for k in plain]
+            runs = [[t.id for t in tokenize(k if k.isascii() else k.encode().decode("latin-1").translate(_BYTES))] for k in plain]
             n = np.fromiter(map(len, runs), np.int64, len(runs))
-            self.base.update(zip(plain, self._append(np.fromiter((i for r in runs for i in r), np.uint32, int(n.sum())), n)))
-        rest = [k for k in keys if k not in self.base]
+            self.base.update(zip(plain, self._append(np.fromiter(chain.from_iterable(runs), np.uint32, int(n.sum())), n)))
+        rest = [k for k, w in zip(keys, word) if not w]
         marked = [k for k in rest if _MARK in k or not k]
         joined = [k for k in rest if _MARK not in k and k]
         for lo in range(0, len(joined), 1000):
@@ -90,16 +101,8 @@ class ChunkEncoder:
         for i, x in enumerate(_ENDS, 1):
             ends[pc.ends_with(chunks, x).to_numpy(zero_copy_only=False)] = i
         body = pc.if_else(pa.array(ends > 0), pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
-        word = pc.ascii_is_alpha(body).to_numpy(zero_copy_only=False)
-        keys = pc.if_else(pa.array(word), pc.ascii_lower(body), chunks)
-        other = np.flatnonzero(~pc.string_is_ascii(chunks).to_numpy(zero_copy_only=False))
-        if len(other):
-            found = [(b.lower(), True) if b.isalpha() and b.lower().isalpha() and max(b) < "\u0250" else (c, False) for b, c in zip(body.take(pa.array(other)).to_pylist(), chunks.take(pa.array(other)).to_pylist())]
-            word[other] = [w for _, w in found]
-            at = np.zeros(len(chunks), bool)
-            at[other] = True
-            keys = pc.replace_with_mask(keys, pa.array(at), pa.array([k for k, _ in found], keys.type))
-        return keys, np.where(word, ends, 0)
+        word = pc.match_substring_regex(body, _LATIN)
+        return pc.if_else(word, pc.utf8_lower(body), chunks), np.where(word.to_numpy(zero_copy_only=False), ends, 0)
 
     def _look_up(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         if len(self.base) > self.most:
@@ -114,7 +117,7 @@ class ChunkEncoder:
         at = np.fromiter(map(self.base.get, names, repeat(0)), np.int64, len(names))
         if (miss := np.flatnonzero(at == 0)).size:
             missing = [names[i] for i in miss.tolist()]
-            self._learn(missing)
+            self._learn(missing, pc.match_substring_regex(key_codes.dictionary.take(pa.array(miss)), _LATIN).to_pylist())
             at[miss] = np.fromiter(map(self.base.__getitem__, missing), np.int64, len(missing))
         # Ids of the distinct chunks one after another, then those of all chunks from there.
         at = at[key_codes.indices.to_numpy()]
@@ -126,17 +129,20 @@ class ChunkEncoder:
         table[np.repeat(starts, own) + inner] = self.flat[np.repeat(self.start[at], own) + inner]
         marked = np.flatnonzero(ends)
         table[starts[marked] + own[marked]] = self.end_ids[ends[marked]]
+        starts, n = starts.astype(np.int32), n.astype(np.int32)
         word = coded.indices.to_numpy()
         if end_id is not None:  # one more entry, at the end of each text
-            starts, n, table = np.append(starts, len(table)), np.append(n, 1), np.append(table, np.uint32(end_id))
+            starts, n, table = np.append(starts, np.int32(len(table))), np.append(n, np.int32(1)), np.append(table, np.uint32(end_id))
             word = np.insert(word, offsets[1:], len(starts) - 1)
             offsets = offsets + np.arange(len(offsets))
         n = n[word]
-        before = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.repeat(starts[word] - before[:-1], n) + np.arange(before[-1])]
-        return ids, before[offsets]
+        before = np.zeros(len(n) + 1, np.int32)
+        np.cumsum(n, out=before[1:])
+        place = np.repeat(starts[word] - before[:-1], n)
+        place += np.arange(before[-1], dtype=np.int32)
+        return table.take(place), before[offsets]
 
-    def encode_column(self, texts: pa.Array, end_id: int | None = None, group_bytes: int = 6_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def encode_column(self, texts: pa.Array, end_id: int | None = None, group_bytes: int = 12_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each group of texts of about `group_bytes`: its first row, the ids of its texts one after another, and
         where each begins (with the end of the last)."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
