@@ -53,6 +53,14 @@ _A, _B, _C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 _32, _LEAST, _FULL = np.uint64(32), np.uint64(1 << 32), np.uint64(2**64 - 1)
 
 
+def turned(a: np.ndarray) -> np.ndarray:
+    """The transpose, copied in strips that a cache line holds."""
+    out = np.empty(a.shape[::-1], a.dtype)
+    for lo in range(0, len(a), 16):
+        out[:, lo : lo + 16] = a[lo : lo + 16].T
+    return out
+
+
 def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.searchsorted(LEVEL, counts * 16, "right") - 1, 0, 127).astype(np.uint8)
 
@@ -66,7 +74,7 @@ def block_kinds(rows: np.ndarray, counts: np.ndarray, rounds: int = 3) -> np.nda
     width = int(place.max()) + 1
     c = np.empty((n, width), np.float32)
     for lo in range(0, n, 256):
-        part = np.ascontiguousarray(rows[:, lo : lo + 256].T)
+        part = turned(rows[:, lo : lo + 256])
         at = place.take(part) + np.arange(len(part))[:, None] * width
         c[lo : lo + 256] = np.bincount(at.reshape(-1), minlength=len(part) * width).reshape(-1, width)
     x = np.sqrt(c)
@@ -115,9 +123,12 @@ class Orders:
         return self.base + (a >> shift), self.base + ((a ^ before * _B) * _C >> shift)
 
     def states(self, p1: np.ndarray, p2: np.ndarray, run: np.ndarray) -> np.ndarray:
-        both = p2 > 0
-        s = np.maximum((both.view(np.int8) << 1) + (both & (p1 == p2)), p1 > 0)
-        return ((s << 2) + run) + self.lane
+        # 0, 4, 8, 12: none, order 1 alone, both and different, both and equal
+        both = (p2 > 0).view(np.int8)
+        s = np.maximum((both & (p1 == p2).view(np.int8)) + (both << 1), (p1 > 0).view(np.int8))
+        s <<= 2
+        s += run
+        return s + self.lane
 
     def weights(self) -> tuple[np.ndarray, np.ndarray]:
         """Weights of order 2 and order 1 in each lane and state; order 0 has at least 1/64."""
@@ -211,6 +222,7 @@ def decode_blocks(data: list[bytes], steps: int, m: Orders) -> np.ndarray:
     span = np.full(n, _FULL)
     got = np.empty((steps, n), np.uint32)
     last, before, run = np.zeros(n, np.uint32), np.zeros(n, np.uint32), np.zeros(n, np.int8)
+    ones, one, next_run = np.ones(n, np.int64), m.type(1), np.array([1, 2, 3, 3], np.int8)
     most, top, all_ = np.uint64((1 << int(m.range_shift)) - 1), np.uint32((1 << int(m.bits)) - 1), np.uint32(1 << WEIGHT_BITS)
     for t in range(steps):
         if t % GROUP == 0:
@@ -226,10 +238,11 @@ def decode_blocks(data: list[bytes], steps: int, m: Orders) -> np.ndarray:
         q = np.minimum(x // r, most).astype(np.uint32)
         hit = (q >> m.bits) < w
         above = w << m.bits
-        place = slots.take(np.minimum((q - above) // w0, top) + m.own_slots) + m.own
+        sym = slots.take(np.minimum((q - above) // w0, top) + m.own_slots)
+        place = sym + m.own
         start, freq = above + w0 * m.cum.take(place), w0 * m.freq.take(place)
-        now = (place - m.own + 1).astype(np.uint32)
-        event = np.ones(n, np.int64)
+        now = sym + one
+        event = ones.copy()
         if (h := np.flatnonzero(hit)).size:
             by2 = w2[h]
             two = (q[h] >> m.bits) < by2
@@ -247,9 +260,9 @@ def decode_blocks(data: list[bytes], steps: int, m: Orders) -> np.ndarray:
         span[short] <<= _32
         t1[i1] = now
         t2[i2] = now
-        run = np.minimum(run + 1, 3) * hit
+        run = next_run.take(run) * hit
         got[t] = now
-        before, last = last, now
+        before, last = last, got[t]
     got -= np.uint32(1)
     return got
 
@@ -267,7 +280,7 @@ def encode_record(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray
     n_blocks = -(-n // block)
     rows = np.zeros(n_blocks * block, np.int32)
     rows[:n] = of.take(ids)
-    rows = np.ascontiguousarray(rows.reshape(n_blocks, block).T)
+    rows = turned(rows.reshape(n_blocks, block))
     kind = np.concatenate([block_kinds(rows[:, lo : lo + LANES], held[symbols]) for lo in range(0, n_blocks, LANES)])
     sums = np.zeros(KINDS * len(symbols), np.int64)
     for lo in range(0, block, 64):
@@ -315,7 +328,7 @@ def decode_record(record: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     sizes, crcs = (np.frombuffer(p, "<u4").astype(np.int64) for p in parts[6:])
     ends = at + np.cumsum(sizes)
     streams = [record[b - s : b] for b, s in zip(ends.tolist(), sizes.tolist())]
-    ids = np.concatenate([symbols[decode_blocks(streams[lo : lo + LANES], block, Orders(levels, kind[lo : lo + LANES])).T].reshape(-1) for lo in range(0, len(kind), LANES)])[:n]
+    ids = np.concatenate([symbols.take(turned(decode_blocks(streams[lo : lo + LANES], block, Orders(levels, kind[lo : lo + LANES])))).reshape(-1) for lo in range(0, len(kind), LANES)])[:n]
     raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
     for k, lo in enumerate(range(0, n, block)):
         if zlib.crc32(raw[4 * lo : 4 * min(lo + block, n)]) != crcs[k]:

@@ -18,7 +18,8 @@ import pyarrow.compute as pc
 from .common import ragged
 
 _MARK = "|"
-_ENDS = (".", ",")
+#: ASCII marks; a run of them at the end of a chunk is one piece to the pre-tokenizer.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 #: Letters of the Latin blocks, but for the dotted I, whose lower-case form is two characters.
 _LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 _KEPT: dict = {}
@@ -47,7 +48,6 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.mark = self._encode(_MARK)[0]
-        self.end_ids = np.array([0, *(self._encode(x)[0] for x in _ENDS)], np.uint32)
         self.most = most
         self._clear()
 
@@ -93,16 +93,31 @@ class ChunkEncoder:
             ids = np.array(self._encode(k) if k else [], np.uint32)
             self.base.update(zip([k], self._append(ids, np.array([len(ids)]))))
 
-    @staticmethod
-    def _keys(chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
-        """What each chunk is looked up by, and the mark that follows it. A Latin word goes by its lower-case form
-        without a full stop or comma after it: the vocabulary lower-cases, and splits letters from marks."""
-        ends = np.zeros(len(chunks), np.int8)
-        for i, x in enumerate(_ENDS, 1):
-            ends[pc.ends_with(chunks, x).to_numpy(zero_copy_only=False)] = i
-        body = pc.if_else(pa.array(ends > 0), pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+    def _entries(self, names: pa.Array) -> np.ndarray:
+        """Entries of the strings, which are learnt if they are new."""
+        coded = names.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        at = np.fromiter(map(self.base.get, distinct, repeat(0)), np.int64, len(distinct))
+        if (miss := np.flatnonzero(at == 0)).size:
+            missing = [distinct[i] for i in miss.tolist()]
+            self._learn(missing, pc.match_substring_regex(coded.dictionary.take(pa.array(miss)), _LATIN).to_pylist())
+            at[miss] = np.fromiter(map(self.base.__getitem__, missing), np.int64, len(missing))
+        return at[coded.indices.to_numpy()]
+
+    def _runs(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Two entries for each chunk. A Latin word goes by its lower-case form, as the vocabulary lower-cases, and
+        the marks at its end by themselves (entry 0, of no ids, where there are none); other chunks go whole."""
+        body = pc.ascii_rtrim(chunks, _MARKS)
         word = pc.match_substring_regex(body, _LATIN)
-        return pc.if_else(word, pc.utf8_lower(body), chunks), np.where(word.to_numpy(zero_copy_only=False), ends, 0)
+        first = self._entries(pc.if_else(word, pc.utf8_lower(body), chunks))
+        second = np.zeros(len(chunks), np.int64)
+        trimmed = pc.subtract(pc.binary_length(chunks), pc.binary_length(body)).to_numpy()
+        if (marked := np.flatnonzero(word.to_numpy(zero_copy_only=False) & (trimmed > 0))).size:
+            n, ends = trimmed[marked], np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset + 1 :][marked]
+            text = np.frombuffer(chunks.buffers()[2], np.uint8)[np.repeat(ends - n, n) + ragged(n)]
+            offsets = np.append(0, np.cumsum(n)).astype(np.int32)
+            second[marked] = self._entries(pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(text)))
+        return first, second
 
     def _look_up(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         if len(self.base) > self.most:
@@ -111,24 +126,15 @@ class ChunkEncoder:
         offsets = split.offsets.to_numpy()
         coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         offsets = offsets - offsets[0]
-        keys, ends = self._keys(coded.dictionary)
-        key_codes = keys.dictionary_encode()
-        names = key_codes.dictionary.to_pylist()
-        at = np.fromiter(map(self.base.get, names, repeat(0)), np.int64, len(names))
-        if (miss := np.flatnonzero(at == 0)).size:
-            missing = [names[i] for i in miss.tolist()]
-            self._learn(missing, pc.match_substring_regex(key_codes.dictionary.take(pa.array(miss)), _LATIN).to_pylist())
-            at[miss] = np.fromiter(map(self.base.__getitem__, missing), np.int64, len(missing))
         # Ids of the distinct chunks one after another, then those of all chunks from there.
-        at = at[key_codes.indices.to_numpy()]
-        own = self.length[at]
-        n = own + (ends > 0)
+        runs = self._runs(coded.dictionary)
+        n1, n2 = (self.length[at] for at in runs)
+        n = n1 + n2
         starts = np.cumsum(n) - n
         table = np.zeros(int(n.sum()), np.uint32)
-        inner = ragged(own)
-        table[np.repeat(starts, own) + inner] = self.flat[np.repeat(self.start[at], own) + inner]
-        marked = np.flatnonzero(ends)
-        table[starts[marked] + own[marked]] = self.end_ids[ends[marked]]
+        for at, own, to in ((runs[0], n1, starts), (runs[1], n2, starts + n1)):
+            inner = ragged(own)
+            table[np.repeat(to, own) + inner] = self.flat[np.repeat(self.start[at], own) + inner]
         starts, n = starts.astype(np.int32), n.astype(np.int32)
         word = coded.indices.to_numpy()
         if end_id is not None:  # one more entry, at the end of each text
@@ -140,7 +146,7 @@ class ChunkEncoder:
         np.cumsum(n, out=before[1:])
         place = np.repeat(starts[word] - before[:-1], n)
         place += np.arange(before[-1], dtype=np.int32)
-        return table.take(place), before[offsets]
+        return table.take(place), before[offsets].astype(np.int64)
 
     def encode_column(self, texts: pa.Array, end_id: int | None = None, group_bytes: int = 12_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each group of texts of about `group_bytes`: its first row, the ids of its texts one after another, and
