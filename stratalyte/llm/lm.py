@@ -1,19 +1,15 @@
 """Language-model scoring by deleted interpolation.
 
-Maximum-likelihood estimates are mixed by buckets of context frequency (powers of two), and the mixture weights of
-each bucket come from expectation-maximisation on the counts of a fold that the estimates of that step leave out:
+Maximum-likelihood estimates of each order are mixed with the next lower order; the weight of an order depends on
+how often its context occurs (buckets by powers of two) and comes from expectation-maximisation on a held-out fold
+of the training documents, with counts that leave the fold out:
 
-    P(w | h) = m * c(h, w) / c(h) + (1 - m) * Q(w | class h)
-    Q(w | class h) = l2 * c(class h, class w) / c(class h) * c(w) / c(class w) + l1 * c(w) / N + l0 / (V + 1)
+    P_k(w | h) = m_k(c(h)) * c(h, w) / c(h) + (1 - m_k(c(h))) * P_k-1(w | shorter h)        P_0 = 1 / (V + 1)
 
-Q smooths the bigram of words. In it, words with at least 1/2048 of all training tokens (so at most 2048 of them)
-and the end are classes of their own; all other words share a class, and within it go by their own counts.
-
-Counts of words, and of all pairs of words, are gathered over the whole corpus by their 64-bit hashes and grow with
-it. The counts of words with at least 1/65536 of the tokens (so at most 65536) and of pairs of classes go to every
-task; all others are looked up in a join. A pair that is joined has a word outside the classes, so no key has more
-than 1/2048 of the tokens. For Q's held-out counts of rare words the context and the word's count are taken as
-independent; the weights m come from each pair's own counts.
+Documents are gathered into segments of some two million tokens. Of each order, a segment asks for the corpus counts
+of its own distinct n-grams: their 64-bit keys, sorted and packed, go to ranges of keys (a number that grows with
+the corpus), where they are summed, and the sums go back. Every n-gram of the corpus is counted; a segment asks for
+each once, however often it occurs, so neither a frequent word nor a frequent pair weighs more than a rare one.
 
 Defined results: a null or empty text is its end token alone; with no training document every score is that of
 the uniform estimate; repeated rows have repeated results; a null doc_id is training text; extra columns are ignored.
@@ -21,299 +17,308 @@ the uniform estimate; repeated rows have repeated results; a null doc_id is trai
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, fold, materialise, words
+from .common import ascii_lower, fold, materialise
 
-HEAD_SHARE, LOCAL_SHARE = 2048, 65_536
 FOLDS, TEST_FOLD, TUNE_FOLD = 7, 2, 6
-BOS, RARE, END, FIRST = 0, 1, 2, 3
-_SEED = 42  # that of the SQL function xxhash64
-_EDGE = 0  # key of the start as a context and of the end as a word
-_GATHER = 1_000_000  # tokens counted at once in a task
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """key, c, tune: counts of each word's hash in the training documents, and in their tuning fold."""
-    rows = docs.where(fold("doc_id", FOLDS) != TEST_FOLD).select((fold("doc_id", FOLDS) == TUNE_FOLD).cast("long").alias("t"), F.explode(F.split(ascii_lower(F.col("text")), SPACES)).alias("w"))
-    return rows.where("w <> ''").select("t", F.xxhash64("w").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("t").alias("tune"))
-
-
-class Classes:
-    """Class and, where known here, the count of a word; a bounded memory of words."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n_head: int, most: int = 400_000):
-        self.known = {int(k): (FIRST + i if i < n_head else RARE, int(c)) for i, (k, c) in enumerate(zip(keys.tolist(), counts.tolist()))}
-        self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.ids: dict[bytes, int] = {}
-        self.cls, self.count, self.key, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
-
-    def _add(self, w: bytes) -> int:
-        if self.n == len(self.cls):
-            self.cls, self.count, self.key = (np.concatenate([x, np.zeros_like(x)]) for x in (self.cls, self.count, self.key))
-        k = xxhash.xxh64_intdigest(w, _SEED)
-        k = k - (1 << 64) if k >> 63 else k
-        self.cls[self.n], self.count[self.n] = self.known.get(k, (RARE, -1))
-        self.key[self.n] = k
-        self.ids[w] = self.n
-        self.n += 1
-        return self.n - 1
-
-    def of(self, text: str | None) -> np.ndarray:
-        """Places in cls, count and key of the words of the whole text."""
-        if self.n > self.most:
-            self._clear()
-        get, add = self.ids.get, self._add
-        return np.array([get(w) or add(w) for w in words(text)], np.int64)
-
-
-@dataclass
-class Model:
-    keys: np.ndarray  # of the words counted in every task, head first
-    counts: np.ndarray
-    n_head: int
-    tokens: int
-    kinds: int
-    ends: int
-    log_head: np.ndarray  # log10 P(class | context class), for classes that are words or the end
-    alpha: np.ndarray  # P of another word is its count * alpha(context) + beta(context)
-    beta: np.ndarray
-    weights: dict[int, list[float]]
-    log_pair: np.ndarray  # log10 P(word | context) where both are classes of their own
-    bigram: list[float]  # the weight m of the pair of words, for each bucket of c(h)
-    pairs: DataFrame | None  # h, w, p, cw of the other pairs: log10 P(w | h), and c(w) where not every task knows it
-
-
-def interpolation_weights(n: np.ndarray, p: np.ndarray, bucket: np.ndarray, rounds: int = 60) -> dict[int, list[float]]:
-    """EM for the weights of each bucket; p: a row for each event, a column for each estimate; n: held-out counts."""
-    out = {}
-    for b in np.unique(bucket).tolist():
-        nb, pb = n[bucket == b], p[bucket == b]
-        lam = np.full(p.shape[1], 1 / p.shape[1])
-        for _ in range(rounds):
-            mix = pb * lam
-            share = (nb[:, None] * mix / np.maximum(mix.sum(1, keepdims=True), 1e-300)).sum(0)
-            if not (total := share.sum()):
-                break
-            lam = np.maximum(share / total, 1e-6)
-            lam /= lam.sum()
-        out[b] = lam.tolist()
+MAIN, TUNE, TEST = 0, 1, 2
+SEGMENT_TOKENS, RANGE_KEYS = 1 << 21, 1 << 21
+BUCKETS = 64
+_SEED = 42
+_EDGE, _START = np.uint64(1), np.uint64(2)  # the end of a text; what stands before its first token
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_RETURN = "seg long, bucket int, main binary, whole binary, kinds long, tokens long, at array<int>, odds array<int>, n array<long>"
+
+
+def pack(a: np.ndarray) -> bytes:
+    """An unsigned array as byte planes, compressed."""
+    return pa.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+
+
+def unpack(b: bytes, dtype: type, n: int) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(b, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T).reshape(-1).view(dtype)
+
+
+def bucket_of(c: np.ndarray) -> np.ndarray:
+    """Floor of log2(c + 1)."""
+    return np.frexp(c.astype(np.float64) + 1)[1] - 1
+
+
+def segments(docs: DataFrame) -> DataFrame:
+    """seg, doc_id, part, n (arrays, a document each), size, keys of the words, places in them of all tokens."""
+    names = ["seg", "doc_id", "part", "n", "size", "kinds", "keys", "tokens"]
+
+    def segment(seg: int, ids: list[pa.Array], parts: list[np.ndarray], n: list[np.ndarray], words: list[pa.Array]) -> pa.RecordBatch:
+        coded = pa.chunked_array(words, pa.large_string()).combine_chunks().dictionary_encode()
+        places = coded.indices.to_numpy()
+        held = np.bincount(places, minlength=len(coded.dictionary))
+        order = np.argsort(-held, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(1, len(order) + 1, dtype=np.uint32)
+        names_ = coded.dictionary.to_pylist()
+        keys = np.array([_EDGE, *(xxhash.xxh64_intdigest(names_[i], _SEED) for i in order.tolist())], np.uint64)
+        counts = np.concatenate(n)
+        tokens = np.zeros(int(counts.sum()), np.uint32)  # the end, place 0, stands after each document
+        inner = np.ones(len(tokens), bool)
+        inner[np.cumsum(counts) - 1] = False
+        tokens[inner] = rank[places]
+        doc_id = pa.concat_arrays(ids)
+        one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+        cols = [pa.array([seg], pa.int64()), one(doc_id, pa.int64()), one(np.concatenate(parts).astype(np.int32), pa.int32()), one(counts.astype(np.int32), pa.int32())]
+        cols += [pa.array([len(tokens)], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([pack(keys)], pa.binary()), pa.array([pack(tokens)], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=names)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        total, seg = 0, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            seg = b.column("at")[0].as_py() << 32 if seg is None else seg
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                split = pc.ascii_split_whitespace(part.column("text"))
+                words = split.flatten()
+                if (empty := pc.equal(words, "")).true_count:
+                    keep = pc.invert(empty)
+                    ends = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])
+                    offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+                    n, words = np.diff(ends[offsets]), words.filter(keep)
+                else:
+                    n = np.diff(split.offsets.to_numpy())
+                for x, y in zip(held, (part.column("doc_id"), part.column("part").to_numpy(), n.astype(np.int64) + 1, words.cast(pa.large_string()))):
+                    x.append(y)
+                total += len(words)
+                if total >= SEGMENT_TOKENS:
+                    yield segment(seg, *held)
+                    held, total, seg = ([], [], [], []), 0, seg + 1
+        if held[0]:
+            yield segment(seg, *held)
+
+    part = F.when(fold("doc_id", FOLDS) == TEST_FOLD, TEST).when(fold("doc_id", FOLDS) == TUNE_FOLD, TUNE).otherwise(MAIN)
+    rows = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("text"), part.cast("int").alias("part"), F.spark_partition_id().cast("long").alias("at"))
+    return rows.mapInArrow(of, "seg long, doc_id array<long>, part array<int>, n array<int>, size long, kinds long, keys binary, tokens binary")
+
+
+class Segment:
+    """The tokens of a segment, and of each order its distinct n-grams with what has come back for them."""
+
+    def __init__(self, row: dict):
+        self.seg, self.doc_id = row["seg"], row["doc_id"]
+        self.n = np.array(row["n"], np.int64)
+        self.keys = unpack(row["keys"], np.uint64, row["kinds"])
+        self.tokens = unpack(row["tokens"], np.uint32, row["size"])
+        self.part = np.repeat(np.array(row["part"], np.int8), self.n)
+        self.doc_part = np.array(row["part"], np.int8)
+        self.first = np.cumsum(self.n) - self.n
+        self.main, self.whole = {}, {}
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the order's distinct n-grams, ascending, and the place of each token's n-gram in them."""
+        if order == 1:
+            keys, place = np.unique(self.keys, return_inverse=True)
+            return keys, place[self.tokens]
+        word = self.keys[self.tokens]
+        key = word
+        for _ in range(order - 1):
+            key = self._before(key, _START) * _M1 + word
+            key = (key ^ key >> np.uint64(29)) * _M2
+            key ^= key >> np.uint64(32)
+        return np.unique(key, return_inverse=True)
+
+    def _before(self, x: np.ndarray, start) -> np.ndarray:
+        """What stands one token before, and `start` at the beginning of each text."""
+        out = np.empty_like(x)
+        out[1:] = x[:-1]
+        out[self.first] = start
+        return out
+
+    def take(self, order: int, rows: list[dict], place: np.ndarray, count: int) -> None:
+        """Counts of each token's n-gram in the corpus, from the sums that came back: without and with the tuning fold."""
+        for to, name in ((self.main, "main"), (self.whole, "whole")):
+            parts = [unpack(r[name], np.uint32, r["kinds"]) for r in sorted(rows, key=lambda r: r["bucket"])]
+            sums = np.concatenate(parts) if parts else np.zeros(count, np.uint32)
+            to[order] = sums[place].astype(np.float64)
+
+    def probabilities(self, upto: int, counts: dict, docs: int, tokens: int, kinds: int, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """P of each token by the orders up to `upto`, and how often the context of the next order occurs, by these counts."""
+        p = np.full(len(self.tokens), 1 / (kinds + 1))
+        context = np.full(len(p), float(tokens))
+        for k in range(1, upto + 1):
+            m = np.where(context > 0, weights[k - 1][0 if k == 1 else bucket_of(context)], 0.0)
+            p = m * counts[k] / np.maximum(context, 1) + (1 - m) * p
+            context = self._before(counts[k], docs)
+        return p, context
+
+
+def asked(seg: Segment, order: int, ranges: int, model: Model, returns: dict[int, list[dict]]) -> Iterator[tuple]:
+    """bucket, seg, keys, counts without and in the tuning fold; of those in the fold also the context's bucket, and the odds of one occurrence against the lower orders."""
+    keys, place = seg.grams(order)
+    main, tune = (np.bincount(place[seg.part == x], minlength=len(keys)).astype(np.uint32) for x in (MAIN, TUNE))
+    at = np.flatnonzero(tune)
+    level, unit = np.zeros(len(keys), np.uint8), np.zeros(len(keys))
+    if order > 1:
+        for k in range(1, order):
+            seg.take(k, returns.get(k, []), *_placed(seg, k))
+        p, context = seg.probabilities(order - 1, seg.main, model.docs_main, model.tokens_main, model.kinds, model.weights)
+        level[place] = bucket_of(context)
+        unit[place] = np.where(context > 0, 1 / (np.maximum(context, 1) * p), 0.0)
+    ends = np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - ranges.bit_length() + 1)) if ranges > 1 else []
+    ends = [0, *np.asarray(ends, np.int64).tolist(), len(keys)]
+    for b, (x, y) in enumerate(zip(ends, ends[1:])):
+        if y > x:
+            own = at[np.searchsorted(at, x) : np.searchsorted(at, y)]
+            yield b, seg.seg, y - x, pack(keys[x:y]), pack(main[x:y]), pack(tune[x:y]), pack(level[own]), unit[own].astype(np.float32).tobytes()
+
+
+def _placed(seg: Segment, order: int) -> tuple[np.ndarray, int]:
+    keys, place = seg.grams(order)
+    return place, len(keys)
+
+
+_ASK = "bucket int, seg long, kinds long, keys binary, main binary, tune binary, level binary, unit binary"
+_ASK_TYPES = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in _ASK.split(", ")])
+
+
+def _by_order(sums: pa.Table) -> dict[int, list[dict]]:
+    out: dict[int, list[dict]] = {}
+    for r in sums.to_pylist():
+        out.setdefault(r["order"], []).append(r)
     return out
 
 
-def pair_counts(docs: DataFrame, keys: np.ndarray, counts: np.ndarray, n_head: int) -> DataFrame:
-    """h, w, main, tune: counts of each pair of neighbours, without and in the tuning fold; 0 where only test documents have it."""
-    part = F.when(fold("doc_id", FOLDS) == TEST_FOLD, 2).when(fold("doc_id", FOLDS) == TUNE_FOLD, 1).otherwise(0)
-    rows = docs.select("text", part.alias("part"))
+def _asker(order: int, ranges: int, model: Model) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        batches = _ask_batches(x for r in left.to_pylist() for x in asked(Segment(r), order, ranges, model, _by_order(right)))
+        return pa.Table.from_batches(batches, _ASK_TYPES)
+
+    return ask
+
+
+def _ask_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    for r in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(r, _ASK_TYPES.types)], schema=_ASK_TYPES)
+
+
+def summed(table: pa.Table) -> pa.Table:
+    """The sums of one range of keys, for each segment that asked; its first row also has the range's kinds and tokens, and its held-out events by the context's bucket and the odds in eighths of a power of two."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["seg"])
+    keys = np.concatenate([unpack(r["keys"], np.uint64, r["kinds"]) for r in rows])
+    main, tune = (np.concatenate([unpack(r[x], np.uint32, r["kinds"]) for r in rows]) for x in ("main", "tune"))
+    distinct, place = np.unique(keys, return_inverse=True)
+    sums = [np.bincount(place, x, len(distinct)).astype(np.int64) for x in (main, tune)]
+    level, unit = np.zeros(len(distinct), np.uint8), np.zeros(len(distinct))
+    here = np.flatnonzero(tune)
+    level[place[here]] = np.concatenate([unpack(r["level"], np.uint8, len(r["unit"]) // 4) for r in rows])
+    unit[place[here]] = np.concatenate([np.frombuffer(r["unit"], np.float32) for r in rows])
+    held = np.flatnonzero(sums[1])
+    with np.errstate(divide="ignore"):
+        odds = np.log2(sums[0][held] * (unit[held] if (unit > 0).any() else 1.0))
+    at = level[held].astype(np.int64) * 4096 + np.where(np.isfinite(odds), np.round(8 * np.maximum(odds, -200)) + 2000, 0).astype(np.int64)
+    events, inverse = np.unique(at, return_inverse=True)
+    n = np.bincount(inverse, sums[1][held], len(events)).astype(np.int64)
+    whole = (sums[0] + sums[1])[place].astype(np.uint32)
+    first = sums[0][place].astype(np.uint32)
+    out, lo = [], 0
+    for k, r in enumerate(rows):
+        hi = lo + r["kinds"]
+        stats = {"at": (events >> 12).tolist(), "odds": (events & 4095).tolist(), "n": n.tolist()} if k == 0 else {"at": [], "odds": [], "n": []}
+        out.append({"seg": r["seg"], "bucket": r["bucket"], "main": pack(first[lo:hi]), "whole": pack(whole[lo:hi]), "kinds": r["kinds"], "tokens": int((sums[0] + sums[1] > 0).sum()) if k == 0 else 0, **stats})
+        lo = hi
+    return pa.Table.from_pylist(out, pa.schema([("seg", pa.int64()), ("bucket", pa.int32()), ("main", pa.binary()), ("whole", pa.binary()), ("kinds", pa.int64()), ("tokens", pa.int64()), ("at", pa.list_(pa.int32())), ("odds", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))]))
+
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(keys, counts, n_head)
-        found: list[np.ndarray] = []
-        held = 0
+class Model:
+    """What every task knows: documents and tokens (without and with the tuning fold), kinds of tokens, and the weights of each order."""
+
+    def __init__(self, docs_main: int, docs: int, tokens_main: int, tokens: int):
+        self.docs_main, self.docs, self.tokens_main, self.tokens = docs_main, docs, tokens_main, tokens
+        self.kinds = 0
+        self.weights: list[np.ndarray] = []
+
+
+def weight(odds: np.ndarray, n: np.ndarray, rounds: int = 100) -> float:
+    """EM for the weight of an estimate whose odds against the other are given, for n held-out events each."""
+    m = 0.5
+    for _ in range(rounds):
+        m = float((n * (m * odds / (m * odds + 1 - m))).sum() / n.sum())
+        m = min(max(m, 1e-6), 1 - 1e-6)
+    return m
+
+
+def _weights(hist: list, scale: float) -> np.ndarray:
+    """The weight for each bucket; one without events goes by the one below."""
+    out = np.zeros(BUCKETS)
+    by: dict[int, list] = {}
+    for r in hist:
+        by.setdefault(r["at"], []).append((0.0 if r["odds"] == 0 else scale * 2.0 ** ((r["odds"] - 2000) / 8), r["n"]))
+    for b in range(BUCKETS):
+        out[b] = weight(*np.array(by[b]).T) if b in by else out[b - 1] if b else 0.0
+    return out
 
-        def summed() -> pa.RecordBatch:
-            x, n = np.unique(np.concatenate(found), return_counts=True)
-            h, w, p = x >> 32, (x >> 2) & ((1 << 30) - 1), x & 3
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (classes.key[h], classes.key[w], np.where(p == 0, n, 0), np.where(p == 1, n, 0))], ["h", "w", "main", "tune"])
 
-        for b in batches:
-            for t, p in zip(b.column("text"), b.column("part").to_pylist()):
-                if found and (held >= _GATHER or classes.n > classes.most):  # places hold until the memory is cleared
-                    yield summed()
-                    found, held = [], 0
-                place = classes.of(t.as_py())
-                found.append((np.append(0, place) << 32) + (np.append(place, 0) << 2) + p)
-                held += len(place) + 1
-        if found:
-            yield summed()
-
-    return rows.mapInArrow(gathered, "h long, w long, main long, tune long").groupBy("h", "w").agg(F.sum("main").alias("main"), F.sum("tune").alias("tune"))
-
-
-def _with_word_counts(pairs: DataFrame, counts: DataFrame, local: DataFrame) -> DataFrame:
-    """`pairs` with ch, ht, cw, wt: counts of both words and those in the tuning fold; w_local: whether every task knows cw."""
-    for x, c, t in (("h", "ch", "ht"), ("w", "cw", "wt")):
-        pairs = pairs.join(F.broadcast(local.toDF(f"{x}_key", f"{x}_c", f"{x}_tune")), F.col(x) == F.col(f"{x}_key"), "left")
-        # Words that are known here are dealt out by the pair, so that no frequent word is a key.
-        ask = F.when(F.col(f"{x}_key").isNull(), F.col(x)).otherwise(F.xxhash64("h", "w"))
-        pairs = pairs.withColumn("ask", ask).join(counts.toDF("key", c, t), F.col("ask") == F.col("key"), "left").drop("ask", "key")
-        known = F.col(f"{x}_key").isNotNull()
-        pairs = pairs.withColumn(c, F.when(known, F.col(f"{x}_c")).otherwise(F.coalesce(c, F.lit(0)))).withColumn(t, F.when(known, F.col(f"{x}_tune")).otherwise(F.coalesce(t, F.lit(0))))
-        pairs = pairs.withColumn(f"{x}_local", known).drop(f"{x}_key", f"{x}_c", f"{x}_tune")
-    return pairs.drop("h_local")
-
-
-def _level(c: Column) -> Column:
-    return F.floor(F.log2(c + 1)).cast("int")
-
-
-def fit(docs: DataFrame, counts: DataFrame) -> Model:
-    """counts: word_counts(docs), written once."""
+def fit(docs: DataFrame, order: int = 2) -> tuple[Model, DataFrame, DataFrame]:
+    """The model, the segments of `docs`, and the sums that came back for each (with a column `order`)."""
     spark = docs.sparkSession
-    train = docs.where(fold("doc_id", FOLDS) != TEST_FOLD).select("text", (fold("doc_id", FOLDS) == TUNE_FOLD).alias("tune"))
-    n_docs = train.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("tune").cast("long")), F.lit(0)).alias("t")).first()
-    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("tune"), F.lit(0)).alias("t")).first()
-    tokens, kinds = sums["c"] + n_docs["n"], sums["v"] + (n_docs["n"] > 0)
-    # At most LOCAL_SHARE words can have this share of all tokens.
-    local = counts.where(F.col("c") * LOCAL_SHARE >= max(1, tokens)).orderBy(F.desc("c"), "key").collect()
-    keys = np.array([r["key"] for r in local], np.int64)
-    c, tune = (np.array([r[x] for r in local], np.int64) for x in ("c", "tune"))
-    n_head = int((c * HEAD_SHARE >= max(1, tokens)).sum())
-    k = FIRST + n_head
-
-    def frame(**cols: np.ndarray) -> DataFrame:
-        return spark.createDataFrame(pa.table({n: pa.array(x) for n, x in cols.items()}))
-
-    local_counts = frame(key=np.append(_EDGE, keys), c=np.append(n_docs["n"], c).astype(np.int64), tune=np.append(n_docs["t"], tune).astype(np.int64))
-    pairs = materialise(_with_word_counts(pair_counts(docs, keys, c, n_head), counts, local_counts), "pair-counts")
-    head_keys = np.append(_EDGE, keys[:n_head])
-    h_classes, w_classes = (np.append(edge, FIRST + np.arange(n_head)).astype(np.int32) for edge in (BOS, END))
-
-    classed = pairs.where("main + tune > 0")
-    for x, of in (("h", h_classes), ("w", w_classes)):
-        classed = classed.join(F.broadcast(frame(key=head_keys, cls=of).toDF(f"{x}_key", f"{x}_cls")), F.col(x) == F.col(f"{x}_key"), "left")
-    pair = F.coalesce("h_cls", F.lit(RARE)).cast("long") * k + F.coalesce("w_cls", F.lit(RARE))
-    got = classed.groupBy(pair.alias("pair")).agg(F.sum("main").alias("main"), F.sum("tune").alias("tune")).toArrow()  # at most k * k rows
-    both = np.zeros((k * k, 2), np.int64)
-    both[got.column("pair").to_numpy()] = np.stack([got.column("main").to_numpy(), got.column("tune").to_numpy()], 1)
-    both = both.reshape(k, k, 2)
-
-    # Held-out events against the counts without that fold.
-    rare = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in keys[:n_head]], "head long")), F.col("key") == F.col("head"), "left_anti")
-    steps = rare.where("tune > 0").groupBy(F.floor(4 * F.log2(F.col("c") - F.col("tune") + 1)).alias("step")).agg(F.sum("tune").alias("n"), F.sum(F.col("tune") * (F.col("c") - F.col("tune"))).alias("weight")).orderBy("step").collect()
-    n_main = max(1, tokens - sums["t"] - n_docs["t"])
-    main, held = both[:, :, 0], both[:, :, 1]
-    own = np.concatenate([[0, 0, n_docs["n"] - n_docs["t"]], (c - tune)[:n_head]])
-    rare_main = max(1, sums["c"] - sums["t"] - int((c - tune)[:n_head].sum()))
-    context = main.sum(1)
-    level = np.floor(np.log2(context + 1)).astype(int)
-    h, t = np.nonzero(held)
-    whole = t != RARE
-    p2 = main[h, t] / np.maximum(context[h], 1)
-    events = [(held[h, t][whole], np.stack([p2[whole], own[t[whole]] / n_main, np.full(whole.sum(), 1 / (kinds + 1))], 1), level[h[whole]])]
-    rare_held = max(1, sum(r["n"] for r in steps))
-    for r in steps:
-        mean = r["weight"] / r["n"]
-        at = h[~whole]
-        share = r["n"] / rare_held
-        events.append((held[at, RARE] * share, np.stack([p2[~whole] * mean / rare_main, np.full(len(at), mean / n_main), np.full(len(at), 1 / (kinds + 1))], 1), level[at]))
-    lam = interpolation_weights(*(np.concatenate(x) for x in zip(*events)))
-
-    levels = np.array(sorted(lam)) if lam else np.array([0])
-
-    def smooth(full: np.ndarray, own: np.ndarray, n_all: int, rare_all: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Q of classes, alpha and beta by these counts."""
-        context = full.sum(1)
-        at = levels[np.minimum(np.searchsorted(levels, np.floor(np.log2(context + 1)).astype(int)), len(levels) - 1)]
-        l2, l1, l0 = (np.array([lam.get(int(b), [1 / 3] * 3)[j] for b in at]) for j in range(3))
-        seen = context > 0
-        l1, l0 = np.where(seen, l1, l1 / (l1 + l0)), np.where(seen, l0, l0 / (l1 + l0))
-        l2 = np.where(seen, l2, 0.0)
-        p = l2[:, None] * full / np.maximum(context, 1)[:, None] + l1[:, None] * own[None] / n_all + l0[:, None] / (kinds + 1)
-        return p, l2 * full[:, RARE] / np.maximum(context, 1) / rare_all + l1 / n_all, l0 / (kinds + 1)
-
-    def joined(q: np.ndarray, alpha: np.ndarray, beta: np.ndarray, cw: Column) -> tuple[DataFrame, Column]:
-        """The pairs with a word outside the classes, and Q of each."""
-        hs = frame(key=head_keys, alpha=alpha[h_classes], beta=beta[h_classes]).toDF("h_key", "alpha", "beta")
-        ws = frame(key=head_keys, q=q[RARE, w_classes]).toDF("w_key", "q")
-        rows = pairs.join(F.broadcast(hs), F.col("h") == F.col("h_key"), "left").join(F.broadcast(ws), F.col("w") == F.col("w_key"), "left").where("h_key is null or w_key is null")
-        return rows, F.when(F.col("w_key").isNotNull(), F.col("q")).otherwise(cw * F.coalesce("alpha", F.lit(float(alpha[RARE]))) + F.coalesce("beta", F.lit(float(beta[RARE]))))
-
-    # Weights of the pair of words: only the odds of the two estimates count, so events are gathered by them in eighths of a power of two.
-    q, alpha, beta = smooth(main, own, n_main, rare_main)
-    rows, old = joined(q, alpha, beta, F.col("cw") - F.col("wt"))
-    seen_before = F.col("ch") - F.col("ht")
-    odds = F.when(F.col("main") > 0, F.round(8 * F.log2(F.col("main") / seen_before / old)).cast("int"))
-    hist = rows.where("tune > 0").groupBy(_level(seen_before).alias("level"), odds.alias("odds")).agg(F.sum("tune").alias("n")).orderBy("level", "odds").collect()
-    inner = (h != RARE) & (t != RARE)
-    h, t = h[inner], t[inner]
-    n = np.concatenate([held[h, t], np.array([r["n"] for r in hist], np.int64)])
-    ratio = np.concatenate([main[h, t] / np.maximum(context[h], 1) / q[h, t], np.array([0.0 if r["odds"] is None else 2.0 ** (r["odds"] / 8) for r in hist])])
-    bucket = np.concatenate([level[h], np.array([r["level"] for r in hist], int)])
-    mix = interpolation_weights(n, np.stack([ratio, np.ones(len(n))], 1), bucket)
-    bigram = [0.0] * 64  # a bucket without events goes by the one below
-    for b in range(64):
-        bigram[b] = mix[b][0] if b in mix else bigram[b - 1] if b else 0.0
-
-    # The model itself, on all training counts.
-    full = both.sum(2)
-    context = full.sum(1)
-    own = np.concatenate([[0, 0, n_docs["n"]], c[:n_head]])
-    p, alpha, beta = smooth(full, own, max(1, tokens), max(1, sums["c"] - int(c[:n_head].sum())))
-    m = np.where(context > 0, np.array(bigram)[np.floor(np.log2(context + 1)).astype(int)], 0.0)[:, None]
-    log_pair = np.log10(m * full / np.maximum(context, 1)[:, None] + (1 - m) * p)
-    rows, old = joined(p, alpha, beta, F.col("cw"))
-    m = F.when(F.col("ch") > 0, F.element_at(F.array(*[F.lit(x) for x in bigram]), _level(F.col("ch")) + 1)).otherwise(0.0)
-    own_share = F.coalesce(F.try_divide(F.col("main") + F.col("tune"), F.col("ch")), F.lit(0.0))
-    scored = rows.select("h", "w", F.log10(m * own_share + (1 - m) * old).alias("p"), F.when(~F.col("w_local"), F.col("cw")).alias("cw"))
-    return Model(keys, c, n_head, int(tokens), int(kinds), int(n_docs["n"]), np.log10(p), alpha, beta, lam, log_pair, bigram, scored)
-
-
-def score(docs: DataFrame) -> DataFrame:
+    segs = materialise(segments(docs), "segments")
+    sizes = segs.select("size", "kinds", F.explode(F.arrays_zip("part", "n")).alias("d")).agg(
+        *(F.coalesce(F.sum(F.when(F.col("d.part") == x, y)), F.lit(0)).alias(f"{name}{x}") for x in (MAIN, TUNE) for name, y in (("docs", F.lit(1)), ("tokens", F.col("d.n").cast("long"))))
+    ).first()
+    totals = segs.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds")).first()
+    model = Model(sizes["docs0"], sizes["docs0"] + sizes["docs1"], sizes["tokens0"], sizes["tokens0"] + sizes["tokens1"])
+    returns = None
+    for k in range(1, order + 1):
+        entries = totals["kinds"] if k == 1 else totals["size"]
+        ranges = 1 << max(0, (-(-entries // RANGE_KEYS) - 1).bit_length())
+        if k == 1:
+            asks = segs.mapInArrow(lambda batches, ranges=ranges, m=model: _ask_batches(x for b in batches for r in b.to_pylist() for x in asked(Segment(r), 1, ranges, m, {})), _ASK)
+        else:
+            asks = segs.groupBy("seg").cogroup(returns.groupBy("seg")).applyInArrow(_asker(k, ranges, model), _ASK)
+        own = materialise(asks.groupBy("bucket").applyInArrow(summed, _RETURN).withColumn("order", F.lit(k)), f"sums-{k}")
+        # Shuffle files of what is written by now go with the driver's garbage.
+        del asks
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        hist = own.where(F.size("at") > 0).select(F.explode(F.arrays_zip("at", "odds", "n")).alias("e")).groupBy("e.at", "e.odds").agg(F.sum("e.n").alias("n")).orderBy("at", "odds").collect()
+        if k == 1:
+            model.kinds = own.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("v")).first()["v"]
+        model.weights.append(_weights(hist, (model.kinds + 1) / max(1, model.tokens_main) if k == 1 else 1.0))
+        own = own.select("seg", "bucket", "main", "whole", "kinds", "order")
+        returns = own if returns is None else returns.unionByName(own)
+    return model, segs, returns
+
+
+def score(docs: DataFrame, *, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = materialise(word_counts(docs), "word-counts")
-    m = fit(docs, counts)
-    pairs, m.pairs = m.pairs, None  # tasks get the rest
-    total = m.tokens + m.kinds + 1
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text a row with what can be summed here, and one for each pair of words to be looked up."""
-        classes = Classes(m.keys, m.counts, m.n_head)
-        own = np.concatenate([[0, 0, m.ends], m.counts[: m.n_head]])
-        base_head = np.log10((own + 1) / total)
-        for b in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(9)]
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                text = t.as_py()
-                place = classes.of(text)
-                cls = classes.cls[place]
-                h, w = np.append(BOS, cls), np.append(cls, END)
-                count = np.append(classes.count[place], m.ends)
-                head = w != RARE
-                here = ~head & (count >= 0)
-                inner = head & (h != RARE)
-                s = m.log_pair[h[inner], w[inner]].sum()
-                base = base_head[w[head]].sum() + np.log10((count[here] + 1) / total).sum()
-                known = int((own[w[head]] > 0).sum()) + int((count[here] > 0).sum())
-                ask = np.flatnonzero(~inner)
-                pair, n = np.unique((np.append(0, place)[ask] << 32) + np.append(place, 0)[ask], return_counts=True)
-                rows = 1 + len(pair)
-                mark = np.zeros(rows, bool)
-                mark[0] = True
-                cols = (np.full(rows, np.nan if d is None else d, object if d is None else np.int64), np.full(rows, zlib.crc32(text.encode("utf-8", "surrogatepass")), np.uint32).view(np.int32), np.append(0, classes.key[pair >> 32]), np.append(0, classes.key[pair & 0xFFFFFFFF]), mark.astype(np.int32), np.append(len(w), n).astype(np.int32))
-                for c, x in zip(out, (*cols, np.where(mark, s, 0.0), np.where(mark, base, 0.0), np.where(mark, known, 0))):
-                    c.append(x)
-            if not out[0]:
-                continue
-            ids = pa.array([None if x != x else int(x) for c in out[0] for x in c], pa.int64()) if any(c.dtype == object for c in out[0]) else pa.array(np.concatenate(out[0]))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate(c)) for c in out[1:])], ["doc_id", "t", "h", "w", "rows", "n", "score", "base", "known"])
-
-    parts = docs.mapInArrow(local, "doc_id long, t int, h long, w long, rows int, n int, score double, base double, known long")
-    marks = parts.where("rows = 1").select("doc_id", "t", "rows", F.col("n").cast("long").alias("n_tokens"), "score", "base", "known")
-    asked = parts.where("rows = 0").select("doc_id", "t", "h", "w", "n").join(pairs, ["h", "w"])  # which has every pair of every document
-    base = F.coalesce(F.col("n") * F.log10((F.col("cw") + 1) / F.lit(float(total))), F.lit(0.0))
-    looked = asked.select("doc_id", "t", F.lit(0).alias("rows"), F.lit(0).cast("long").alias("n_tokens"), (F.col("n") * F.col("p")).alias("score"), base.alias("base"), F.when(F.col("cw") > 0, F.col("n")).otherwise(0).cast("long").alias("known"))
-    sums = marks.unionByName(looked).groupBy("doc_id", "t").agg(*(F.sum(x).alias(x) for x in ("rows", "n_tokens", "score", "base", "known")))
-    each = lambda x: F.col(x) / F.col("rows")  # noqa: E731  equal rows have been summed together
-    return sums.select(
-        "doc_id",
-        ((fold("doc_id", FOLDS) == TEST_FOLD) & F.col("doc_id").isNotNull()).alias("held_out"),
-        each("n_tokens").cast("long").alias("n_tokens"),
-        each("known").cast("long").alias("n_known"),
-        F.lit(m.tokens).cast("long").alias("train_tokens"),
-        each("base").alias("base_score"),
-        each("score").alias("score"),
-        F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"),
-    ).drop("copy")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model, segs, returns = fit(docs, order)
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        back, tables = _by_order(right), []
+        for row in left.to_pylist():
+            s = Segment(row)
+            for k in range(1, order + 1):
+                s.take(k, back.get(k, []), *_placed(s, k))
+            p, _ = s.probabilities(order, s.whole, model.docs, model.tokens, model.kinds, model.weights)
+            base = np.log10((s.whole[1] + 1) / (model.tokens + model.kinds + 1))
+            sums = [np.add.reduceat(x, s.first) for x in ((s.whole[1] > 0).astype(np.int64), base, np.log10(p))]
+            ids = pa.array(s.doc_id, pa.int64())
+            held = (s.doc_part == TEST) & ids.is_valid().to_numpy(zero_copy_only=False)
+            tables.append(pa.table([ids, pa.array(held), pa.array(s.n), pa.array(sums[0]), pa.array(np.full(len(ids), model.tokens)), pa.array(sums[1]), pa.array(sums[2])], names=names))
+        return pa.concat_tables(tables)
+
+    kinds = ("long", "boolean", "long", "long", "long", "double", "double")
+    return segs.groupBy("seg").cogroup(returns.groupBy("seg")).applyInArrow(scored, ", ".join(f"{n} {t}" for n, t in zip(names, kinds)))

@@ -47,7 +47,7 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(table(spark, sf_dir, "documents"))
+    return lm.score(table(spark, sf_dir, "documents"), order=3)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,50 +219,89 @@ def test_language_model(spark):
     assert lm.score(docs_of(spark, [])).count() == 0
 
 
-def test_interpolation_is_a_distribution(spark):
-    rows = [(i, " ".join(words_of(60, i))) for i in range(200)]
-    docs = docs_of(spark, rows).select("doc_id", "text")
-    counts = lm.word_counts(docs)
-    m = lm.fit(docs, counts)
-    c = {r["key"]: r["c"] for r in counts.collect()}
-    head = set(m.keys[: m.n_head].tolist())
-    for h in range(len(m.alpha)):
-        rare = sum(v * m.alpha[h] + m.beta[h] for k, v in c.items() if k not in head)
-        mass = (10 ** m.log_head[h, lm.END :]).sum() + rare + m.beta[h]  # and the unknown word
-        assert abs(mass - 1) < 1e-6 or mass < 1
-    assert all(abs(sum(w) - 1) < 1e-9 for w in m.weights.values())
-
-
-def test_language_model_counts_all_pairs(spark):
-    rng = random.Random(5)
-    follow = {}
-    texts = []
-    for i in range(240):
-        w = [f"w{rng.randrange(3000)}"]
-        for _ in range(80):
-            w.append(follow.setdefault(w[-1], f"w{rng.randrange(3000)}") if rng.random() < 0.8 else f"w{rng.randrange(3000)}")
+class BruteModel:
+    """Deleted interpolation by dictionaries, with the weights that EM gives on all held-out events one by one."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        part = {i: (lambda f: lm.TEST if f == lm.TEST_FOLD else lm.TUNE if f == lm.TUNE_FOLD else lm.MAIN)(zlib.crc32(str(i).encode()) % 7) for i, _ in texts}
+        self.docs = [(i, t.encode().lower().split() + [None], part[i]) for i, t in texts]
+        self.counts = {"main": collections.Counter(), "whole": collections.Counter()}
+        for _, w, p in self.docs:
+            for to in ["main", "whole"] if p == lm.MAIN else ["whole"] if p == lm.TUNE else []:
+                for t in range(len(w)):
+                    for k in range(order):
+                        self.counts[to][self.gram(w, t, k)] += 1
+                self.counts[to]["docs"] += 1
+                self.counts[to]["tokens"] += len(w)
+        self.kinds = sum(1 for g in self.counts["whole"] if isinstance(g, tuple) and len(g) == 1)
+        self.weights = []
+        for k in range(order):
+            events = collections.defaultdict(list)
+            for _, w, p in self.docs:
+                if p == lm.TUNE:
+                    for t in range(len(w)):
+                        c = self.context("main", w, t, k)
+                        odds = self.counts["main"][self.gram(w, t, k)] / c / self.p("main", w, t, k) if c else 0.0
+                        events[0 if k == 0 else int(math.log2(c + 1))].append(odds)
+            by = {b: lm.weight(np.array(o), np.ones(len(o))) for b, o in events.items()}
+            weights = []
+            for b in range(64):
+                weights.append(by.get(b, weights[-1] if weights else 0.0))
+            self.weights.append(weights)
+
+    @staticmethod
+    def gram(w, t, k):
+        return tuple((["<s>"] * k + w)[t : t + k + 1])
+
+    def context(self, to, w, t, k):
+        c = self.counts[to]
+        return c["tokens"] if k == 0 else c["docs"] if t == 0 else c[self.gram(w, t - 1, k - 1)]
+
+    def p(self, to, w, t, upto):
+        p = 1 / (self.kinds + 1)
+        for k in range(upto):
+            c = self.context(to, w, t, k)
+            m = self.weights[k][0 if k == 0 else int(math.log2(c + 1))] if c else 0.0
+            p = m * (self.counts[to][self.gram(w, t, k)] / c if c else 0) + (1 - m) * p
+        return p
+
+
+def chained(n, seed=5):
+    """Texts in which most words follow the same word each time."""
+    rng, follow, texts = random.Random(seed), {}, []
+    for i in range(n):
+        w = [f"w{rng.randrange(500)}"]
+        for _ in range(rng.randrange(60)):
+            w.append(follow.setdefault(w[-1], f"w{rng.randrange(500)}") if rng.random() < 0.7 else f"W{rng.randrange(3000)}")
         texts.append((i, " ".join(w)))
-    docs = docs_of(spark, texts).select("doc_id", "text")
-    m = lm.fit(docs, lm.materialise(lm.word_counts(docs), "word-counts"))
-    fold = {i: zlib.crc32(str(i).encode()) % 7 for i, _ in texts}
-    word, pair, kinds = collections.Counter(), collections.Counter(), set()
-    for i, t in texts:
-        w = [None, *t.encode().split(), None]
-        kinds |= set(zip(w, w[1:]))
-        if fold[i] != lm.TEST_FOLD:
-            word.update(w[:-1])
-            pair.update(zip(w, w[1:]))
-    key = lambda w: 0 if w is None else (k := xxhash.xxh64_intdigest(w, 42)) - ((k >> 63) << 64)
-    head = {0, *m.keys[: m.n_head].tolist()}
-    want = {(key(a), key(b)): (a, b) for a, b in kinds if not {key(a), key(b)} <= head}
-    got = {(r["h"], r["w"]): r["p"] for r in m.pairs.collect()}
-    assert set(got) == set(want) and want
-    for k, (a, b) in want.items():
-        share = m.bigram[int(math.log2(word[a] + 1))] * pair[a, b] / word[a] if word[a] else 0
-        assert 10 ** got[k] >= share * (1 - 1e-9)
-    assert max(m.bigram) > 0.3  # pairs outside the head foretell the next word
-    held = [r for r in lm.score(docs).collect() if r["held_out"]]
-    assert sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held) > -2.4
+    return texts + [(5000, ""), (5001, "w1"), (5002, "never seen words 2")]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_language_model_by_brute_force(spark, order, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE_KEYS", 512)  # several ranges
+    texts = chained(240)
+    want = BruteModel(texts, order)
+    model, _, _ = lm.fit(docs_of(spark, texts).select("doc_id", "text"), order)
+    assert (model.kinds, model.docs, model.tokens) == (want.kinds, want.counts["whole"]["docs"], want.counts["whole"]["tokens"])
+    for k in range(order):  # odds are gathered in eighths of a power of two
+        assert np.allclose(model.weights[k], want.weights[k], atol=0.02 if k < 2 else 0.05), k
+    want.weights = model.weights
+    got = {r["doc_id"]: r for r in lm.score(docs_of(spark, texts), order=order).collect()}
+    for i, w, _ in want.docs:
+        assert abs(got[i]["score"] - sum(math.log10(want.p("whole", w, t, order)) for t in range(len(w)))) < 1e-6 * len(w)
+    held = [r for r in got.values() if r["held_out"]]
+    if order > 1:
+        assert sum(r["score"] for r in held) > 0.8 * sum(r["base_score"] for r in held)
+
+
+def test_interpolation_is_a_distribution(spark):
+    want = BruteModel(chained(80), 3)
+    words = [g[0] for g in want.counts["whole"] if isinstance(g, tuple) and len(g) == 1]
+    for before in ([], ["x"], [b"w1"], [b"w1", b"w2"], want.docs[3][1][:2]):
+        mass = sum(want.p("whole", [*before, w], len(before), 3) for w in [*words, "unknown"])
+        assert abs(mass - 1) < 1e-9, before
 
 
 def test_language(spark):
