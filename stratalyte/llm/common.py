@@ -27,11 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/stratalyte"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back: later plans start from the files, which outlive executors."""
+    """Write `df` once as Parquet in the shared folder and read it back: later plans start from the files, which outlive executors. Its shuffle files go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

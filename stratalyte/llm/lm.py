@@ -17,7 +17,6 @@ the uniform estimate; repeated rows have repeated results; a null doc_id is trai
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -271,7 +270,6 @@ def _weights(hist: list, scale: float) -> np.ndarray:
 
 def fit(docs: DataFrame, order: int = 2) -> tuple[Model, DataFrame, DataFrame]:
     """The model, the segments of `docs`, and the sums that came back for each (with a column `order`)."""
-    spark = docs.sparkSession
     segs = materialise(segments(docs), "segments")
     sizes = segs.select("size", "kinds", F.explode(F.arrays_zip("part", "n")).alias("d")).agg(
         *(F.coalesce(F.sum(F.when(F.col("d.part") == x, y)), F.lit(0)).alias(f"{name}{x}") for x in (MAIN, TUNE) for name, y in (("docs", F.lit(1)), ("tokens", F.col("d.n").cast("long"))))
@@ -287,10 +285,6 @@ def fit(docs: DataFrame, order: int = 2) -> tuple[Model, DataFrame, DataFrame]:
         else:
             asks = segs.groupBy("seg").cogroup(returns.groupBy("seg")).applyInArrow(_asker(k, ranges, model), _ASK)
         own = materialise(asks.groupBy("bucket").applyInArrow(summed, _RETURN).withColumn("order", F.lit(k)), f"sums-{k}")
-        # Shuffle files of what is written by now go with the driver's garbage.
-        del asks
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
         hist = own.where(F.size("at") > 0).select(F.explode(F.arrays_zip("at", "odds", "n")).alias("e")).groupBy("e.at", "e.odds").agg(F.sum("e.n").alias("n")).orderBy("at", "odds").collect()
         if k == 1:
             model.kinds = own.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("v")).first()["v"]
