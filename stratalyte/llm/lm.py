@@ -6,7 +6,7 @@ of the training documents, with counts that leave the fold out:
 
     P_k(w | h) = m_k(c(h)) * c(h, w) / c(h) + (1 - m_k(c(h))) * P_k-1(w | shorter h)        P_0 = 1 / (V + 1)
 
-Documents are gathered into segments of some two million tokens. Of each order, a segment asks for the corpus counts
+Documents are gathered into segments of some million tokens. Of each order, a segment asks for the corpus counts
 of its own distinct n-grams: their 64-bit keys, sorted and packed, go to ranges of keys (a number that grows with
 the corpus), where they are summed, and the sums go back. Every n-gram of the corpus is counted; a segment asks for
 each once, however often it occurs, so neither a frequent word nor a frequent pair weighs more than a rare one.
@@ -30,7 +30,7 @@ from .common import ascii_lower, fold, materialise
 
 FOLDS, TEST_FOLD, TUNE_FOLD = 7, 2, 6
 MAIN, TUNE, TEST = 0, 1, 2
-SEGMENT_TOKENS, RANGE_KEYS = 1 << 21, 1 << 21
+SEGMENT_TOKENS, RANGE_KEYS = 1 << 20, 1 << 21
 BUCKETS = 64
 _SEED = 42
 _EDGE, _START = np.uint64(1), np.uint64(2)  # the end of a text; what stands before its first token
@@ -122,7 +122,7 @@ class Segment:
         self.part = np.repeat(np.array(row["part"], np.int8), self.n)
         self.doc_part = np.array(row["part"], np.int8)
         self.first = np.cumsum(self.n) - self.n
-        self.main, self.whole = {}, {}
+        self.counts: dict[int, np.ndarray] = {}
 
     def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """The keys of the order's distinct n-grams, ascending, and the place of each token's n-gram in them."""
@@ -144,21 +144,20 @@ class Segment:
         out[self.first] = start
         return out
 
-    def take(self, order: int, rows: list[dict], place: np.ndarray, count: int) -> None:
-        """Counts of each token's n-gram in the corpus, from the sums that came back: without and with the tuning fold."""
-        for to, name in ((self.main, "main"), (self.whole, "whole")):
-            parts = [unpack(r[name], np.uint32, r["kinds"]) for r in sorted(rows, key=lambda r: r["bucket"])]
-            sums = np.concatenate(parts) if parts else np.zeros(count, np.uint32)
-            to[order] = sums[place].astype(np.float64)
+    def take(self, order: int, rows: list[dict], name: str) -> None:
+        """Counts of each token's n-gram in the corpus, from the sums that came back: `main` without the tuning fold, or `whole`."""
+        keys, place = self.grams(order)
+        parts = [unpack(r[name], np.uint32, r["kinds"]) for r in sorted(rows, key=lambda r: r["bucket"])]
+        self.counts[order] = (np.concatenate(parts) if parts else np.zeros(len(keys), np.uint32))[place]
 
-    def probabilities(self, upto: int, counts: dict, docs: int, tokens: int, kinds: int, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def probabilities(self, upto: int, docs: int, tokens: int, kinds: int, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """P of each token by the orders up to `upto`, and how often the context of the next order occurs, by these counts."""
         p = np.full(len(self.tokens), 1 / (kinds + 1))
         context = np.full(len(p), float(tokens))
         for k in range(1, upto + 1):
             m = np.where(context > 0, weights[k - 1][0 if k == 1 else bucket_of(context)], 0.0)
-            p = m * counts[k] / np.maximum(context, 1) + (1 - m) * p
-            context = self._before(counts[k], docs)
+            p = m * self.counts[k] / np.maximum(context, 1) + (1 - m) * p
+            context = self._before(self.counts[k].astype(np.float64), docs)
         return p, context
 
 
@@ -170,8 +169,8 @@ def asked(seg: Segment, order: int, ranges: int, model: Model, returns: dict[int
     level, unit = np.zeros(len(keys), np.uint8), np.zeros(len(keys))
     if order > 1:
         for k in range(1, order):
-            seg.take(k, returns.get(k, []), *_placed(seg, k))
-        p, context = seg.probabilities(order - 1, seg.main, model.docs_main, model.tokens_main, model.kinds, model.weights)
+            seg.take(k, returns.get(k, []), "main")
+        p, context = seg.probabilities(order - 1, model.docs_main, model.tokens_main, model.kinds, model.weights)
         level[place] = bucket_of(context)
         unit[place] = np.where(context > 0, 1 / (np.maximum(context, 1) * p), 0.0)
     ends = np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - ranges.bit_length() + 1)) if ranges > 1 else []
@@ -182,11 +181,6 @@ def asked(seg: Segment, order: int, ranges: int, model: Model, returns: dict[int
             yield b, seg.seg, y - x, pack(keys[x:y]), pack(main[x:y]), pack(tune[x:y]), pack(level[own]), unit[own].astype(np.float32).tobytes()
 
 
-def _placed(seg: Segment, order: int) -> tuple[np.ndarray, int]:
-    keys, place = seg.grams(order)
-    return place, len(keys)
-
-
 _ASK = "bucket int, seg long, kinds long, keys binary, main binary, tune binary, level binary, unit binary"
 _ASK_TYPES = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[c.split()[1]]) for c in _ASK.split(", ")])
 
@@ -305,10 +299,10 @@ def score(docs: DataFrame, *, order: int = 2) -> DataFrame:
         for row in left.to_pylist():
             s = Segment(row)
             for k in range(1, order + 1):
-                s.take(k, back.get(k, []), *_placed(s, k))
-            p, _ = s.probabilities(order, s.whole, model.docs, model.tokens, model.kinds, model.weights)
-            base = np.log10((s.whole[1] + 1) / (model.tokens + model.kinds + 1))
-            sums = [np.add.reduceat(x, s.first) for x in ((s.whole[1] > 0).astype(np.int64), base, np.log10(p))]
+                s.take(k, back.get(k, []), "whole")
+            p, _ = s.probabilities(order, model.docs, model.tokens, model.kinds, model.weights)
+            base = np.log10((s.counts[1].astype(np.float64) + 1) / (model.tokens + model.kinds + 1))
+            sums = [np.add.reduceat(x, s.first) for x in ((s.counts[1] > 0).astype(np.int64), base, np.log10(p))]
             ids = pa.array(s.doc_id, pa.int64())
             held = (s.doc_part == TEST) & ids.is_valid().to_numpy(zero_copy_only=False)
             tables.append(pa.table([ids, pa.array(held), pa.array(s.n), pa.array(sums[0]), pa.array(np.full(len(ids), model.tokens)), pa.array(sums[1]), pa.array(sums[2])], names=names))
