@@ -50,6 +50,11 @@ def unpack(b: bytes, dtype: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(pa.decompress(b, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n).T).reshape(-1).view(dtype)
 
 
+def key_bits(order: int) -> int:
+    """Bits of the keys: of pairs and triples, one in 2^30 or so would share its key with another of a range."""
+    return 64 if order == 1 else 56
+
+
 def bucket_of(c: np.ndarray) -> np.ndarray:
     """Floor of log2(c + 1)."""
     return np.frexp(c.astype(np.float64) + 1)[1] - 1
@@ -135,7 +140,7 @@ class Segment:
             key = self._before(key, _START) * _M1 + word
             key = (key ^ key >> np.uint64(29)) * _M2
             key ^= key >> np.uint64(32)
-        return np.unique(key, return_inverse=True)
+        return np.unique(key >> np.uint64(64 - key_bits(order)), return_inverse=True)
 
     def _before(self, x: np.ndarray, start) -> np.ndarray:
         """What stands one token before, and `start` at the beginning of each text."""
@@ -162,23 +167,23 @@ class Segment:
 
 
 def asked(seg: Segment, order: int, ranges: int, model: Model, returns: dict[int, list[dict]]) -> Iterator[tuple]:
-    """bucket, seg, keys, counts without and in the tuning fold; of those in the fold also the context's bucket, and the odds of one occurrence against the lower orders."""
+    """bucket, seg, keys, counts without and in the tuning fold; of those in the fold also the context's bucket, and the odds of one occurrence against the lower orders (64 steps to a power of two)."""
     keys, place = seg.grams(order)
     main, tune = (np.bincount(place[seg.part == x], minlength=len(keys)).astype(np.uint32) for x in (MAIN, TUNE))
     at = np.flatnonzero(tune)
-    level, unit = np.zeros(len(keys), np.uint8), np.zeros(len(keys))
+    level, unit = np.zeros(len(keys), np.uint8), np.zeros(len(keys), np.uint16)
     if order > 1:
         for k in range(1, order):
             seg.take(k, returns.get(k, []), "main")
         p, context = seg.probabilities(order - 1, model.docs_main, model.tokens_main, model.kinds, model.weights)
         level[place] = bucket_of(context)
-        unit[place] = np.where(context > 0, 1 / (np.maximum(context, 1) * p), 0.0)
-    ends = np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << np.uint64(64 - ranges.bit_length() + 1)) if ranges > 1 else []
+        unit[place] = np.where(context > 0, np.round(64 * (np.log2(1 / (np.maximum(context, 1) * p)) + 500)), 0)
+    ends = np.searchsorted(keys, np.arange(1, ranges, dtype=np.uint64) << np.uint64(key_bits(order) - ranges.bit_length() + 1)) if ranges > 1 else []
     ends = [0, *np.asarray(ends, np.int64).tolist(), len(keys)]
     for b, (x, y) in enumerate(zip(ends, ends[1:])):
         if y > x:
             own = at[np.searchsorted(at, x) : np.searchsorted(at, y)]
-            yield b, seg.seg, y - x, pack(keys[x:y]), pack(main[x:y]), pack(tune[x:y]), pack(level[own]), unit[own].astype(np.float32).tobytes()
+            yield b, seg.seg, y - x, pack(keys[x:y]), pack(main[x:y]), pack(tune[x:y]), pack(level[own]), pack(unit[own])
 
 
 _ASK = "bucket int, seg long, kinds long, keys binary, main binary, tune binary, level binary, unit binary"
@@ -212,13 +217,15 @@ def summed(table: pa.Table) -> pa.Table:
     main, tune = (np.concatenate([unpack(r[x], np.uint32, r["kinds"]) for r in rows]) for x in ("main", "tune"))
     distinct, place = np.unique(keys, return_inverse=True)
     sums = [np.bincount(place, x, len(distinct)).astype(np.int64) for x in (main, tune)]
-    level, unit = np.zeros(len(distinct), np.uint8), np.zeros(len(distinct))
+    level, unit = np.zeros(len(distinct), np.uint8), np.zeros(len(distinct), np.uint16)
     here = np.flatnonzero(tune)
-    level[place[here]] = np.concatenate([unpack(r["level"], np.uint8, len(r["unit"]) // 4) for r in rows])
-    unit[place[here]] = np.concatenate([np.frombuffer(r["unit"], np.float32) for r in rows])
+    ends = np.cumsum([0, *(r["kinds"] for r in rows)])
+    held_in = np.diff(np.searchsorted(here, ends)).tolist()  # entries of each row that are in the fold
+    level[place[here]] = np.concatenate([unpack(r["level"], np.uint8, n) for r, n in zip(rows, held_in)])
+    unit[place[here]] = np.concatenate([unpack(r["unit"], np.uint16, n) for r, n in zip(rows, held_in)])
     held = np.flatnonzero(sums[1])
     with np.errstate(divide="ignore"):
-        odds = np.log2(sums[0][held] * (unit[held] if (unit > 0).any() else 1.0))
+        odds = np.log2(sums[0][held]) + np.where(unit[held] > 0, unit[held] / 64 - 500, 0.0)
     at = level[held].astype(np.int64) * 4096 + np.where(np.isfinite(odds), np.round(8 * np.maximum(odds, -200)) + 2000, 0).astype(np.int64)
     events, inverse = np.unique(at, return_inverse=True)
     n = np.bincount(inverse, sums[1][held], len(events)).astype(np.int64)
@@ -277,7 +284,7 @@ def fit(docs: DataFrame, order: int = 2) -> tuple[Model, DataFrame, DataFrame]:
         if k == 1:
             asks = segs.mapInArrow(lambda batches, ranges=ranges, m=model: _ask_batches(x for b in batches for r in b.to_pylist() for x in asked(Segment(r), 1, ranges, m, {})), _ASK)
         else:
-            asks = segs.groupBy("seg").cogroup(returns.groupBy("seg")).applyInArrow(_asker(k, ranges, model), _ASK)
+            asks = segs.groupBy("seg").cogroup(returns.drop("whole").groupBy("seg")).applyInArrow(_asker(k, ranges, model), _ASK)
         own = materialise(asks.groupBy("bucket").applyInArrow(summed, _RETURN).withColumn("order", F.lit(k)), f"sums-{k}")
         hist = own.where(F.size("at") > 0).select(F.explode(F.arrays_zip("at", "odds", "n")).alias("e")).groupBy("e.at", "e.odds").agg(F.sum("e.n").alias("n")).orderBy("at", "odds").collect()
         if k == 1:
@@ -309,4 +316,4 @@ def score(docs: DataFrame, *, order: int = 2) -> DataFrame:
         return pa.concat_tables(tables)
 
     kinds = ("long", "boolean", "long", "long", "long", "double", "double")
-    return segs.groupBy("seg").cogroup(returns.groupBy("seg")).applyInArrow(scored, ", ".join(f"{n} {t}" for n, t in zip(names, kinds)))
+    return segs.groupBy("seg").cogroup(returns.drop("main").groupBy("seg")).applyInArrow(scored, ", ".join(f"{n} {t}" for n, t in zip(names, kinds)))
