@@ -139,7 +139,7 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(7, BENCH, 1), (8, None, 1), (9, "", 1), (10, "too short", 1)], "item_id long, text string, doc_id int")
     docs = docs_of(spark, rows)
     got = {(r["doc_id"], r["item_id"]): r["changed"] for r in decontaminate.find_leaks(docs, bench).collect()}
-    assert {(1, 7), (2, 7)} <= set(got) and not {k for k in got if k[0] in (3, 4, 5)} and got[1, 7] == 0 and got[2, 7] >= 2
+    assert {(1, 7), (2, 7), (6, 7)} <= set(got) and not {k for k in got if k[0] in (3, 4, 5)} and got[1, 7] == 0 and got[2, 7] >= 2
     left = decontaminate.decontaminate(docs, bench)
     assert left.columns == docs.columns and left.where("doc_id in (1, 2)").count() == 0 and left.count() == len(rows) - len({k[0] for k in got})
     assert decontaminate.find_leaks(docs_of(spark, []), bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
@@ -153,7 +153,92 @@ def test_decontamination_finds_names_that_begin_sentences(spark):
     pad = " ".join(words_of(80, 2))
     docs = docs_of(spark, [(1, f"{pad}. {changed} {pad}"), (2, f"{pad}. {item} {pad}"), (3, f"{pad} {mixed} {pad}"), (4, item.lower()), (5, pad)])
     got = {r["doc_id"]: (r["matched"], r["windows"]) for r in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
-    assert {1, 2} <= set(got) <= {1, 2, 4} and got[1][0] == got[1][1] == got[2][0]
+    assert set(got) == {1, 2, 4} and got[1][0] == got[1][1] == got[2][0]
+
+
+def brute_leaks(rows, items):
+    """The definition, window by window, for texts of letters, full stops and whole numbers."""
+
+    def readings(text):
+        words = text.split()
+        begins = [k == 0 or words[k - 1].endswith(".") for k in range(len(words))]
+        tokens = [("num", w.strip(".")) if w.strip(".").isdigit() else ("name" if w[0].isupper() else "word", w.strip(".").lower()) for w in words]
+        out = []
+        for r in range(3):
+            kinds = ["word" if k == "name" and (r == 2 or r == 0 and b) else k for (k, _), b in zip(tokens, begins)]
+            out.append([(k, v if k == "word" else None) for k, (_, v) in zip(kinds, tokens)])
+        return out, [v for _, v in tokens]
+
+    def places(text):
+        reads, values = readings(text)
+        return [[tuple(r[k : k + 5]) for k in range(len(r) - 4)] for r in reads], values
+
+    found = set()
+    for item, itext in items:
+        iw, iv = places(itext)
+        ok = [k for k, w in enumerate(iw[0]) if sum(t[0] == "word" for t in w) >= 2]
+        for doc, text in rows:
+            dw, dv = places(text)
+            at = collections.defaultdict(set)
+            for r in dw:
+                for k, w in enumerate(r):
+                    at[w].add(k)
+            hits = [(q, p, r) for r in range(3) for q in ok for p in at[iw[r][q]]]
+            for band in {(p - q) // 16 for q, p, r in hits}:
+                to, back, seen = {}, {}, set()
+                for q, p, r in sorted((h for h in hits if (h[1] - h[0]) // 16 in (band, band + 1))):
+                    slots = [(k, iv[q + j], dv[p + j]) for j, (k, _) in enumerate(iw[r][q]) if k != "word"]
+                    if q not in seen and all(to.get((k, u), v) == v and back.get((k, v), u) == u for k, u, v in slots):
+                        seen.add(q)
+                        for k, u, v in slots:
+                            to[k, u], back[k, v] = v, u
+                if ok and len(seen) >= 0.8 * len(ok):
+                    found.add((doc, item))
+    return found
+
+
+def test_decontamination_by_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 3000)
+    plain, names = "one the a of red blue green walks sees finds box tree house river apple stone with from into under".split()[1:], "Anna Tom Maria Peter Zoe Carl".split()
+
+    def sentence(n):
+        w = [rng.choice(plain) if rng.random() < 0.75 else rng.choice(names) if rng.random() < 0.6 else str(rng.randrange(40)) for _ in range(n)]
+        w[0] = w[0].capitalize()
+        return " ".join(w) + "."
+
+    shared = "which of these is the box that Anna finds under the tree."
+    items = [(k, " ".join([sentence(rng.randrange(6, 14)) for _ in range(rng.randrange(1, 4))] + [shared] * (k % 3 == 0))) for k in range(30)]
+    rows = []
+    for d in range(220):
+        t = rng.choice(items)[1]
+        how = d % 7
+        if how == 1:
+            t = t.lower()
+        elif how == 2:
+            t = t.upper()
+        elif how == 3:  # every name and number for one other
+            to = dict(zip(names, rng.sample(names, len(names)))) | {str(n): str(m) for n, m in zip(range(40), rng.sample(range(100, 200), 40))}
+            t = " ".join(to.get(w.rstrip("."), w.rstrip(".")) + "." * w.endswith(".") for w in t.split())
+        elif how == 4:  # names and numbers at random
+            t = " ".join((rng.choice(names) if w.rstrip(".") in names else str(rng.randrange(40)) if w.rstrip(".").isdigit() else w.rstrip(".")) + "." * w.endswith(".") for w in t.split())
+        elif how == 5:
+            w = t.split()
+            for _ in range(rng.randrange(1, 5)):
+                w[rng.randrange(len(w))] = rng.choice(plain)
+            t = " ".join(w)
+        elif how == 6:
+            t = sentence(30)
+        rows.append((d, f"{sentence(20)} {t} {sentence(20)}"))
+    rows.append((999, " ".join([shared] * 400)))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(rows, items)
+    assert got == want
+    assert len({d for d, _ in want if d % 7 in (0, 1, 2)}) == len([d for d, _ in rows[:-1] if d % 7 in (0, 1, 2)])
+    assert len({d for d, _ in want if d % 7 == 3}) >= 0.95 * len([d for d, _ in rows if d % 7 == 3])
+    monkeypatch.setattr(decontaminate, "STRIP", 50)
+    again = decontaminate.find_leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in again.collect()} == want
 
 
 def brute_neighbours(rows, queries, k):
