@@ -5,7 +5,8 @@ to shards that share two of six bit blocks (with four differing bits, two of six
 lost). A shard is a BK-tree, its children keyed by the Hamming distance to the parent, and a search follows only
 edges within the radius of the distance at hand. The trees of all shards together grow with the corpus, so they are
 not broadcast: each travels with its shard in a shuffle, which also keeps them off the driver. Within a shard the
-links become one edge for each linked fingerprint; components over those edges come from distributed rounds of
+links become one edge for each linked fingerprint. A large shard is first linked to a few of its members, and a
+search leaves out what is all linked with it already, so a crowd of near-equal fingerprints is not walked pair by pair; components over those edges come from distributed rounds of
 least-label hooking, each written to the shared folder.
 
 Defined results: a null or blank text has fingerprint zero, linked like any other; rows with a null doc_id have a
@@ -15,7 +16,7 @@ fingerprint, no links and a null component; repeated rows have one result each;
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -94,9 +95,34 @@ class Forest:
             stay[index] = False
             at = rest[index][back][stay]
             rest = rest[stay]
+        self.levels = [(slot // 65, node) for slot, node in zip(slots, nodes)]  # parents and children, from the roots down
         slot, node = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (slots, nodes))
         order = np.argsort(slot)
         self.slots, self.nodes = slot[order], node[order]
+        self.labels = np.arange(n)
+        self.whole = np.zeros(n, bool)  # everything below the node has its label
+
+    def crowds(self, radius: int, least: int = 64, rounds: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links of large shards to a few of their members: each round the first that is not linked yet, with all near it."""
+        size = np.bincount(self.roots, minlength=len(self.fps))
+        at = np.flatnonzero(size[self.roots] >= least)
+        for _ in range(rounds):
+            if not len(at):
+                return
+            shards, first = np.unique(self.roots[at], return_index=True)
+            lead = at[first][np.searchsorted(shards, self.roots[at])]
+            near = np.bitwise_count(self.fps[at] ^ self.fps[lead]) <= radius
+            yield lead[near], at[near]
+            at = at[~near]
+
+    def settle(self, labels: np.ndarray) -> None:
+        """Walks leave out what is below a node if all of it is linked with the query by these labels."""
+        self.labels = labels
+        low, high = labels.copy(), labels.copy()
+        for parents, children in reversed(self.levels):
+            np.minimum.at(low, parents, low[children])
+            np.maximum.at(high, parents, high[children])
+        self.whole = low == high
 
     def _child(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which slots have a child, and it."""
@@ -120,6 +146,7 @@ class Forest:
                 ok = (d + e >= 1) & (d + e <= 64)
                 has, child = self._child(at[ok] * 65 + d[ok] + e)
                 keep = child <= q[ok][has]  # a child has a larger number than its parent: what follows is larger still
+                keep &= ~(self.whole[child] & (self.labels[child] == self.labels[q[ok][has]]))
                 nq.append(q[ok][has][keep])
                 nat.append(child[keep])
             q, at = np.concatenate(nq), np.concatenate(nat)
@@ -150,7 +177,8 @@ def _edges(radius: int, rows: int = 200_000):
             if not len(x):
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
             forest = Forest(x[:, 0], x[:, 1].view(np.uint64) if x[:, 1].flags.c_contiguous else np.ascontiguousarray(x[:, 1]).view(np.uint64))
-            lab = least_labels(len(x), forest.links(radius))
+            forest.settle(least_labels(len(x), forest.crowds(radius)))
+            lab = least_labels(len(x), chain([(forest.labels, np.arange(len(x)))], forest.links(radius)))
             on = np.flatnonzero(lab != np.arange(len(x)))
             return pa.RecordBatch.from_arrays([pa.array(x[lab[on], 2]), pa.array(x[on, 2])], ["a", "b"])
 
@@ -199,15 +227,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 4, radius: int = 4) -> DataFrame:
-    """doc_id, fp (long), component_id for every row: the least doc_id that links of `radius` or fewer bits reach."""
+def tree_edges(kinds: DataFrame, radius: int = 4) -> DataFrame:
+    """a, b: one edge for each linked fingerprint of each shard; kinds: fp and rep, a row for each fingerprint."""
     if radius > 4:
         raise ValueError("six blocks in pairs find links of four bits at most")
+    shards = kinds.select(F.explode(shard_keys(F.col("fp"))).alias("key"), "fp", "rep")
+    return shards.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_edges(radius), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, fp (long), component_id for every row: the least doc_id that links of `radius` or fewer bits reach."""
     prints = materialise(fingerprints(docs, size=size), "fingerprints")
     kinds = materialise(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "kinds")
-    shards = kinds.select(F.explode(shard_keys(F.col("fp"))).alias("key"), "fp", "rep")
-    dealt = shards.repartition("key").sortWithinPartitions("key", "rep")
-    found = components(dealt.mapInArrow(_edges(radius), "a long, b long"))
+    found = components(tree_edges(kinds, radius))
     named = kinds.join(found, kinds["rep"] == found["node"], "left").select(F.col("fp").alias("f"), F.coalesce("label", "rep").alias("component_id"))
     out = prints.join(named, prints["fp"] == named["f"], "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
