@@ -63,7 +63,7 @@ _KIND_HASH = np.array([0, _h("<name>"), _h("<num>"), _h("<unit>")], np.uint64)
 class Canon:
     """Words to template tokens; what a word is by itself is kept in a table of bounded size."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         self.most = most
         self.clear()
 

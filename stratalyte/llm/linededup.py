@@ -16,13 +16,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialise
 
 LONG_WORDS = 50
 RESIDUES = 4
+#: The marks of removed chunks are broadcast if they are no more documents (and four times as many chunks), else joined.
+BROADCAST_ROWS = 250_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -101,38 +103,36 @@ def chunks_of(text: Column, *, long_words: int = LONG_WORDS, residues: int = RES
     return let(let(_units(text, long_words), candidates), cut)
 
 
-def _flagged(text: Column, long_words: int, residues: int) -> Column:
-    """The eligible chunks with their place, two hashes, and whether no equal chunk stands before in the same text."""
-
-    def flags(c: Column) -> Column:
-        def one(x: Column, k: Column, hashes: Column) -> Column:
-            return F.struct(k.alias("k"), x["text"].alias("s"), x["eligible"].alias("eligible"), F.get(hashes, k).alias("h"), (F.array_position(hashes, F.get(hashes, k)) == k + 1).alias("first"))
-
-        hashes = F.transform(c, lambda x: F.xxhash64(x["text"]))
-        return let(hashes, lambda hs: F.filter(F.transform(c, lambda x, k: one(x, k, hs)), lambda x: x["eligible"]))
-
-    return let(chunks_of(text, long_words=long_words, residues=residues), flags)
+def _eligible(text: Column, long_words: int, residues: int) -> Column:
+    """The chunks that are compared, with their place."""
+    numbered = lambda c: F.transform(c, lambda x, k: F.struct(k.alias("k"), x["text"].alias("s"), x["eligible"].alias("eligible")))
+    return let(chunks_of(text, long_words=long_words, residues=residues), lambda c: F.filter(numbered(c), lambda x: x["eligible"]))
 
 
 def dedup_lines(docs: DataFrame, *, long_words: int = LONG_WORDS, residues: int = RESIDUES, count: str | None = None) -> DataFrame:
     """`docs` with the repeated chunks gone from `text`; `count` names a column for the number of removed chunks."""
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    pieces = rows.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.explode(_flagged(F.col("text"), long_words, residues)).alias("c"))
-    pieces = pieces.select("d", "t", F.col("c.k").alias("k"), F.col("c.s").alias("s"), F.col("c.h").alias("h"), F.xxhash64(F.lit("second"), "c.s").alias("g"), F.col("c.first").alias("first"))
-    keys = materialise(pieces.drop("s"), "chunk-keys")
+    pieces = rows.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), F.explode(_eligible(F.col("text"), long_words, residues)).alias("c"))
+    s = F.col("c.s")
+    pieces = materialise(pieces.select("d", "t", F.col("c.k").alias("k"), F.xxhash64(s).alias("h"), F.xxhash64(F.lit("second"), s).alias("g"), s.alias("s")), "chunks")
     # Bytes are compared here: chunks count as one only where the strings are equal. A key of two strings removes nothing.
     texts = pieces.groupBy("h", "g", "s").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("owner"))
     repeated = texts.groupBy("h", "g").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("n"), F.min("owner").alias("owner"))
-    repeated = repeated.where("kinds = 1 and n > 1").select("h", "g", "owner")
-    gone = keys.join(repeated, ["h", "g"]).where("d <> owner or not first")
-    marks = gone.groupBy("d", "t").agg(F.collect_set("k").alias("gone"))
+    repeated = materialise(repeated.where("kinds = 1 and n > 1").select("h", "g", "owner"), "repeated")
+    copies = pieces.select("d", "t", "k", "h", "g").join(repeated, ["h", "g"])
+    first = F.min("k").over(Window.partitionBy("d", "t", "h", "g"))
+    gone = copies.withColumn("first", first).where("d <> owner or k > first")
+    marks = materialise(gone.groupBy("d", "t").agg(F.collect_set("k").alias("gone")), "marks")
+    held = marks.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("places")).first()
+    if held["rows"] <= BROADCAST_ROWS and held["places"] <= 4 * BROADCAST_ROWS:
+        marks = F.broadcast(marks)
 
     t, d2, t2, ks = (fresh(docs, x) for x in ("_text_hash", "_marked_doc", "_marked_hash", "_gone"))
     left = docs.withColumn(t, F.xxhash64("text"))
     joined = left.join(marks.toDF(d2, t2, ks), (F.col("doc_id") == F.col(d2)) & (F.col(t) == F.col(t2)), "left")
     kept = let(
         chunks_of(F.col("text"), long_words=long_words, residues=residues),
-        lambda c: F.array_join(F.filter(F.transform(c, lambda x, k: F.when(~F.array_contains(F.col(ks), k), x["text"])), lambda x: x.isNotNull()), ""),
+        lambda c: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(c) - 1), F.col(ks)), lambda k: F.get(c, k)["text"]), ""),
     )
     text = F.when(F.col(ks).isNull(), F.col("text")).otherwise(kept).alias("text")
     cols = [text if c == "text" else F.col(c) for c in docs.columns]

@@ -41,7 +41,7 @@ def default_tokenizer() -> str:
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,11 +58,22 @@ class ChunkEncoder:
         self.base: dict[str, int] = {}
         self.start, self.length, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 1
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.again = np.zeros(1 << 16, bool)  # entries that have been looked up since
+
+    def _prune(self) -> None:
+        """Keep the words that have come more than once."""
+        kept = {k: v for k, v in self.base.items() if self.again[v]}
+        flat, start, length = self.flat, self.start, self.length
+        self._clear()
+        if len(kept) <= self.most // 2:
+            at = np.fromiter(kept.values(), np.int64, len(kept))
+            n = length[at]
+            self.base = dict(zip(kept, self._append(flat[np.repeat(start[at], n) + ragged(n)], n)))
 
     def _append(self, new: np.ndarray, n: np.ndarray) -> range:
         """Entries for runs of ids of the lengths n."""
         while self.n + len(n) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+            self.start, self.length, self.again = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.again))
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.start[self.n : self.n + len(n)] = self.used + np.cumsum(n) - n
@@ -98,6 +109,7 @@ class ChunkEncoder:
         coded = names.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         at = np.fromiter(map(self.base.get, distinct, repeat(0)), np.int64, len(distinct))
+        self.again[at] = True
         if (miss := np.flatnonzero(at == 0)).size:
             missing = [distinct[i] for i in miss.tolist()]
             self._learn(missing, pc.match_substring_regex(coded.dictionary.take(pa.array(miss)), _LATIN).to_pylist())
@@ -121,7 +133,7 @@ class ChunkEncoder:
 
     def _look_up(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         if len(self.base) > self.most:
-            self._clear()
+            self._prune()
         split = pc.ascii_split_whitespace(texts)
         offsets = split.offsets.to_numpy()
         coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
