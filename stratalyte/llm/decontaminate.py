@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged
+from .common import ragged, tidy
 
 WIDTH = 5
 SHARE = 0.8
@@ -332,7 +332,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k in range(blocks):
         # One block at a time is held whole: BLOCK_WINDOWS bounds it, and an item is in one block only.
         index = Index([(r["item_id"], r["text"]) for r in bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()])
-        part = thin.mapInArrow(_matcher(index), schema)
+        part = thin.mapInArrow(tidy(_matcher(index)), schema)
         out = part if out is None else out.unionByName(part)
     return out
 

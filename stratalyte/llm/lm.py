@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fold, materialise
+from .common import ascii_lower, fold, materialise, release, tidy
 
 FOLDS, TEST_FOLD, TUNE_FOLD = 7, 2, 6
 MAIN, TUNE, TEST = 0, 1, 2
@@ -113,7 +113,7 @@ def segments(docs: DataFrame) -> DataFrame:
 
     part = F.when(fold("doc_id", FOLDS) == TEST_FOLD, TEST).when(fold("doc_id", FOLDS) == TUNE_FOLD, TUNE).otherwise(MAIN)
     rows = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("text"), part.cast("int").alias("part"), F.spark_partition_id().cast("long").alias("at"))
-    return rows.mapInArrow(of, "seg long, doc_id array<long>, part array<int>, n array<int>, size long, kinds long, keys binary, tokens binary")
+    return rows.mapInArrow(tidy(of), "seg long, doc_id array<long>, part array<int>, n array<int>, size long, kinds long, keys binary, tokens binary")
 
 
 class Segment:
@@ -200,7 +200,9 @@ def _by_order(sums: pa.Table) -> dict[int, list[dict]]:
 def _asker(order: int, ranges: int, model: Model) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         batches = _ask_batches(x for r in left.to_pylist() for x in asked(Segment(r), order, ranges, model, _by_order(right)))
-        return pa.Table.from_batches(batches, _ASK_TYPES)
+        out = pa.Table.from_batches(batches, _ASK_TYPES)
+        release()
+        return out
 
     return ask
 
@@ -237,6 +239,8 @@ def summed(table: pa.Table) -> pa.Table:
         stats = {"at": (events >> 12).tolist(), "odds": (events & 4095).tolist(), "n": n.tolist()} if k == 0 else {"at": [], "odds": [], "n": []}
         out.append({"seg": r["seg"], "bucket": r["bucket"], "main": pack(first[lo:hi]), "whole": pack(whole[lo:hi]), "kinds": r["kinds"], "tokens": int((sums[0] + sums[1] > 0).sum()) if k == 0 else 0, **stats})
         lo = hi
+    del keys, main, tune, distinct, place, sums, level, unit, at, inverse, whole, first
+    release()
     return pa.Table.from_pylist(out, pa.schema([("seg", pa.int64()), ("bucket", pa.int32()), ("main", pa.binary()), ("whole", pa.binary()), ("kinds", pa.int64()), ("tokens", pa.int64()), ("at", pa.list_(pa.int32())), ("odds", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))]))
 
 
@@ -282,7 +286,7 @@ def fit(docs: DataFrame, order: int = 2) -> tuple[Model, DataFrame, DataFrame]:
         entries = totals["kinds"] if k == 1 else totals["size"]
         ranges = 1 << max(0, (-(-entries // RANGE_KEYS) - 1).bit_length())
         if k == 1:
-            asks = segs.mapInArrow(lambda batches, ranges=ranges, m=model: _ask_batches(x for b in batches for r in b.to_pylist() for x in asked(Segment(r), 1, ranges, m, {})), _ASK)
+            asks = segs.mapInArrow(tidy(lambda batches, ranges=ranges, m=model: _ask_batches(x for b in batches for r in b.to_pylist() for x in asked(Segment(r), 1, ranges, m, {}))), _ASK)
         else:
             asks = segs.groupBy("seg").cogroup(returns.drop("whole").groupBy("seg")).applyInArrow(_asker(k, ranges, model), _ASK)
         own = materialise(asks.groupBy("bucket").applyInArrow(summed, _RETURN).withColumn("order", F.lit(k)), f"sums-{k}")
@@ -313,6 +317,7 @@ def score(docs: DataFrame, *, order: int = 2) -> DataFrame:
             ids = pa.array(s.doc_id, pa.int64())
             held = (s.doc_part == TEST) & ids.is_valid().to_numpy(zero_copy_only=False)
             tables.append(pa.table([ids, pa.array(held), pa.array(s.n), pa.array(sums[0]), pa.array(np.full(len(ids), model.tokens)), pa.array(sums[1]), pa.array(sums[2])], names=names))
+        release()
         return pa.concat_tables(tables)
 
     kinds = ("long", "boolean", "long", "long", "long", "double", "double")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, ragged
+from .common import materialise, ragged, tidy
 from .tokens import default_tokenizer, encoder
 
 BUCKET_ROWS = 50_000
@@ -186,7 +186,7 @@ def cut(docs: DataFrame, *, length: int, end_id: int, tokenizer: str | None = No
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return thin.mapInArrow(of, ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names))
+    return thin.mapInArrow(tidy(of), ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names))
 
 
 def pack(docs: DataFrame, *, length: int = 2048, grain: int = 16, end_id: int = 1, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:

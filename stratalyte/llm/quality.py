@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, tidy
 
 BINS = 12
 N_FEATURES = 14
@@ -147,11 +147,12 @@ def fit_pu(pos: np.ndarray, unl: np.ndarray, *, rounds: int = 400, l2: float = 1
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [text_features(t.as_py()) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column("_pos")], ["f", "_pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column("_pos"), b.column("_at")], ["f", "_pos", "_at"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, folds: int = 5) -> QualityModel | None:
-    """Fit on at most about `max_rows` trusted positives and `max_rows` unlabelled rows, taken by a hash of the id.
+    """Fit on at most `max_rows` trusted positives and `max_rows` unlabelled rows, taken by a hash of the id; of rows
+    that repeat an id, however many, those with the least hashes of the text.
 
     Rows of fold 0 of `folds` (crc32 of the id) are left out on both sides."""
     lab = labels.select(F.col("doc_id"), F.col("quality")).where("doc_id is not null and quality = 1").where(fold("doc_id", folds) != 0).select("doc_id").distinct()
@@ -161,9 +162,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, max_rows: int = 20_000, f
         return None
     at = lambda salt, share: F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
     trusted = lab.where(at(1, max_rows / n_lab)).withColumn("_pos", F.lit(1))
-    pos = rows.join(F.broadcast(trusted), "doc_id").select("text", "_pos")
-    unl = rows.where(at(2, max_rows / n_rows)).select("text", F.lit(0).alias("_pos"))
-    got = pos.unionByName(unl).mapInArrow(_features_of, "f array<double>, _pos int").toArrow()
+    pos = rows.join(F.broadcast(trusted), "doc_id").select("text", "_pos", F.xxhash64("doc_id", "text").alias("_at"))
+    unl = rows.where(at(2, max_rows / n_rows)).select("text", F.lit(0).alias("_pos"), F.xxhash64("doc_id", "text").alias("_at"))
+    taken = [x.mapInArrow(tidy(_features_of), "f array<double>, _pos int, _at long").orderBy("_at").limit(max_rows) for x in (pos, unl)]
+    got = taken[0].unionByName(taken[1]).toArrow()
     x = np.array(got.column("f").to_pylist(), dtype=np.float64).reshape(-1, N_FEATURES)
     s = got.column("_pos").to_numpy()
     if not (s == 1).any() or not (s == 0).any():

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, words
+from .common import fresh, materialise, tidy, words
 
 SEED = 42
 #: Lowest bit and width of each block.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, *, size: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), fps], ["doc_id", "fp"])
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return thin.mapInArrow(of, "doc_id long, fp long")
+    return thin.mapInArrow(tidy(of), "doc_id long, fp long")
 
 
 def shard_keys(fp: Column) -> Column:
@@ -232,7 +232,7 @@ def tree_edges(kinds: DataFrame, radius: int = 4) -> DataFrame:
     if radius > 4:
         raise ValueError("six blocks in pairs find links of four bits at most")
     shards = kinds.select(F.explode(shard_keys(F.col("fp"))).alias("key"), "fp", "rep")
-    return shards.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(_edges(radius), "a long, b long")
+    return shards.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(tidy(_edges(radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 4, radius: int = 4) -> DataFrame:

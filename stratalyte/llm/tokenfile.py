@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, tidy
 from .tokens import default_tokenizer, encoder
 
 MAGIC = b"ACM2"
@@ -366,7 +366,7 @@ def write_tokens(docs: DataFrame, path: str, *, end_id: int = 2, tokenizer: str
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = thin.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
-    dealt.mapInArrow(of, "part int, seq int, n_ids long, record binary").write.parquet(path)
+    dealt.mapInArrow(tidy(of), "part int, seq int, n_ids long, record binary").write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:
@@ -388,7 +388,7 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> Da
 
     types = {"part": "int", "seq": "int", "ids": "array<int>"}
     records = spark.read.parquet(path)
-    decoded = records.select("part", "seq", "record").mapInArrow(of, ", ".join(f"{n} {types.get(n, 'long')}" for n in names))
+    decoded = records.select("part", "seq", "record").mapInArrow(tidy(of), ", ".join(f"{n} {types.get(n, 'long')}" for n in names))
     sizes = records.select("part", "seq", "n_ids")
     # Ids before a record: those of earlier parts (a row for each part), and of earlier records of its part.
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
