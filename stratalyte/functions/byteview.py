@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,41 +33,73 @@ def conditional_entropy(b: np.ndarray, lag: int = LAG) -> float:
     return entropy_of(joint) - entropy_of(np.bincount(b[:-lag], minlength=256))
 
 
-def block_entropies(b: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Entropy around each block's middle: bytes from one block before it to one after."""
-    return np.array([entropy_of(np.bincount(b[max(0, m - block) : m + block], minlength=256)) for m in range(0, len(b), block)])
-
-
-def profile(text: str | None) -> dict:
-    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    n = len(b)
-    h = np.bincount(b, minlength=256)
-    v = b.astype(np.int64)
-    blocks = block_entropies(b)
-    whole = entropy_of(h)
-    alpha = ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122))
+_C_LOG_C = np.array([0.0, *(c * np.log2(c) for c in range(1, 2 * BLOCK + 1))])
+#: Bytes that are looked at together.
+CHUNK = 1 << 20
+
+
+def block_variances(flat: np.ndarray, starts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """For each text the mean squared difference between its entropy and that around each block's middle (bytes from one block before it to one after); 0 for texts of one block."""
+    n = np.diff(starts)
+    count = -(-n // BLOCK)
+    out = np.zeros(len(n))
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CHUNK, "right")) - 1)
+        b = flat[starts[lo] : starts[hi]]
+        first = np.cumsum(count[lo:hi]) - count[lo:hi]
+        inner = np.arange(len(b)) - np.repeat(starts[lo:hi] - starts[lo], n[lo:hi])
+        block = np.repeat(first, n[lo:hi]) + inner // BLOCK
+        total = int(count[lo:hi].sum())
+        h = np.bincount(block * 256 + b, minlength=total * 256).reshape(total, 256)
+        opens = np.zeros(total, bool)
+        opens[first[count[lo:hi] > 0]] = True
+        h[1:] += np.where(opens[1:, None], 0, h[:-1])
+        size = h.sum(1)
+        entropy = np.log2(np.maximum(size, 1)) - _C_LOG_C[h].sum(1) / np.maximum(size, 1)
+        text = np.repeat(np.arange(lo, hi), count[lo:hi])
+        sums = np.bincount(text - lo, (entropy - whole[text]) ** 2, minlength=hi - lo)
+        out[lo:hi] = np.where(count[lo:hi] > 1, sums / np.maximum(count[lo:hi], 1), 0.0)
+        lo = hi
+    return out
+
+
+def profiles(flat: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
+    """The columns of SCHEMA for the texts whose bytes stand one after another in `flat`."""
+    n = np.diff(starts)
+    texts = len(n)
+    row = np.repeat(np.arange(texts), n)
+    h = np.bincount(row * 256 + flat, minlength=texts * 256).reshape(texts, 256)
+    inner = row[1:] == row[:-1]
+    alpha = ((flat >= 65) & (flat <= 90)) | ((flat >= 97) & (flat <= 122))
+    begins = alpha.copy()
+    begins[1:] &= ~(alpha[:-1] & inner)
+    product = flat[1:].astype(np.int64) * flat[:-1]
+    count = lambda mask, rows: np.bincount(rows[mask], minlength=texts)
+    value = np.arange(256)
+    padded = np.append(flat, np.uint8(0))
     return {
         "n": n,
         "hist": h,
-        "same": int((b[1:] == b[:-1]).sum()),
-        "sum": int(v.sum()),
-        "sumsq": int((v * v).sum()),
-        "lagged": int((v[1:] * v[:-1]).sum()),
-        "first": int(b[0]) if n else 0,
-        "last": int(b[-1]) if n else 0,
-        "cond": conditional_entropy(b),
-        "block_var": float(((blocks - whole) ** 2).mean()) if len(blocks) > 1 else 0.0,
-        "words": int((alpha & ~np.concatenate([[False], alpha[:-1]])).sum()) if n else 0,
+        "same": count(inner & (flat[1:] == flat[:-1]), row[1:]),
+        "sum": h @ value,
+        "sumsq": h @ (value * value),
+        "lagged": np.bincount(row[1:][inner], product[inner], minlength=texts).astype(np.int64),
+        "first": np.where(n > 0, padded[starts[:-1]], 0),
+        "last": np.where(n > 0, padded[np.maximum(starts[1:] - 1, 0)], 0),
+        "words": count(begins, row),
     }
 
 
-SCHEMA = "n long, hist array<long>, same long, sum long, sumsq long, lagged long, first int, last int, cond double, block_var double, words long"
+SCHEMA = "n long, hist array<long>, same long, sum long, sumsq long, lagged long, first int, last int, words long"
+#: Columns that cost more and are made if asked for.
+EXTRA = {"cond": "cond double", "block_var": "block_var double", "repeats": "again4 long, blocks4 long, again2 long"}
 
 
-def repeats(text: str | None) -> tuple[int, int, int]:
+def repeats(b: np.ndarray) -> tuple[int, int, int]:
     """Positions whose four bytes come again four or more places later; every fourth position whose four bytes come
     again at such a position; positions whose two bytes come again two or more places later."""
-    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+    b = b.astype(np.int64)
 
     def later(gram: np.ndarray, gap: int) -> int:
         if not len(gram):
@@ -80,31 +113,53 @@ def repeats(text: str | None) -> tuple[int, int, int]:
     return later(four, 4), later(four[::4], 1), later(b[:-1] << 8 | b[1:], 2)
 
 
-def repeat_profile(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, again4, blocks4, again2 as `repeats` counts them."""
-    names = [key, "again4", "blocks4", "again2"]
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [repeats(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names)
-
-    return df.select(key, text).mapInArrow(of, f"{key} {df.schema[key].dataType.simpleString()}, again4 long, blocks4 long, again2 long")
-
-
-def byte_profile(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key` and the columns of SCHEMA, a row for each row of df."""
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    kind = df.schema[key].dataType.simpleString()
+def byte_profile(df: DataFrame, key: str = "doc_id", text: str = "text", *, extra: tuple[str, ...] = (), carry: tuple[str, ...] = ()) -> DataFrame:
+    """`key`, the columns `carry`, those of SCHEMA and of EXTRA as far as asked for: one row for each row of df, in one pass."""
+    kept = [key, *carry]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), SCHEMA, *(EXTRA[x] for x in extra)])
+    names = [c.strip().split()[0].strip("`") for c in schema.split(", ")]
+    types = {"first": pa.int32(), "last": pa.int32(), "cond": pa.float64(), "block_var": pa.float64()}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [profile(t.as_py()) for t in b.column(1)]
-            cols = {x: [r[x] for r in rows] for x in names}
-            types = {"hist": pa.list_(pa.int64()), "first": pa.int32(), "last": pa.int32(), "cond": pa.float64(), "block_var": pa.float64()}
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(cols[x], types.get(x, pa.int64())) for x in names)], [key, *names])
-
-    return df.select(key, text).mapInArrow(of, f"{key} {kind}, {SCHEMA}")
+        for whole in batches:
+            for b in pieces(whole):
+                flat, starts = text_bytes(b.column(len(kept)))
+                cols = profiles(flat, starts)
+                each = lambda fn: [fn(flat[x:y]) for x, y in zip(starts.tolist(), starts[1:].tolist())]  # noqa: E731, B023
+                if "cond" in extra:
+                    cols["cond"] = np.array(each(conditional_entropy))
+                if "block_var" in extra:
+                    n, h = cols["n"], cols["hist"]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        p = h / n[:, None]
+                        entropy = -np.where(h > 0, p * np.log2(p), 0.0).sum(1)
+                    cols["block_var"] = block_variances(flat, starts, entropy)
+                if "repeats" in extra:
+                    cols |= dict(zip(("again4", "blocks4", "again2"), np.array(each(repeats), np.int64).reshape(-1, 3).T))
+                hist = pa.ListArray.from_arrays(pa.array(np.arange(len(starts), dtype=np.int32) * 256), pa.array(cols.pop("hist").reshape(-1)))
+                made = [hist if x == "hist" else pa.array(cols[x]).cast(types.get(x, pa.int64())) for x in names[len(kept) :]]
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *made], names)
+
+    return df.select(*kept, text).mapInArrow(of, schema)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts (null: none) one after another, and where each begins, with the end of the last."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    starts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None and starts[-1] > starts[0] else np.zeros(0, np.uint8)
+    return flat, starts - starts[0]
+
+
+def pieces(b: pa.RecordBatch, size: int = 16 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `size` bytes of its last column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < b.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield b.slice(lo, hi - lo)
+        lo = hi
 
 
 def hist_sum(hist: Column, where) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalyte.functions.byteview import BYTES_SQL, byte_profile, hist_count, hist_entropy, hist_sum, hist_unique, repeat_profile
+from stratalyte.functions.byteview import BYTES_SQL, byte_profile, hist_count, hist_entropy, hist_sum, hist_unique
 from stratalyte.operators.stats import MOMENTS_SQL, moments
 from stratalyte.operators.text import CLASSES_SQL, CODE_MARKS, character_classes
 from stratalyte.plans.registry import query, table
@@ -30,8 +30,8 @@ def share(part: Column, whole: Column) -> Column:
 
 def content_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """Byte profile, classes, format markers, primary type and suitabilities of each text."""
-    p = character_classes(byte_profile(df, key, text)).join(repeat_profile(df, key, text), key)
-    p = p.join(df.select(key, F.coalesce(F.regexp_count(text, F.lit("<[A-Za-z/]")) > 0, F.lit(False)).alias("tag")), key)
+    tagged = df.withColumn("tag", F.coalesce(F.regexp_count(text, F.lit("<[A-Za-z/]")) > 0, F.lit(False)))
+    p = character_classes(byte_profile(tagged, key, text, extra=("repeats",), carry=("tag",)))
     h, n = F.col("hist"), F.col("n")
     p = p.withColumns({"h": hist_entropy(h, n), "text_share": share(F.col("printable"), n), "full": n - F.get(h, F.lit(0))})
     p = p.withColumns({
@@ -199,7 +199,7 @@ select doc_id, round(repetitive::double, 6) as repetitive, round(hierarchical::d
 def file_pattern(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     h, n = F.col("hist"), F.col("n")
-    p = byte_profile(docs).join(repeat_profile(docs), "doc_id").join(docs.select("doc_id", F.regexp_count("text", F.lit("[0-9][:/-]")).alias("marks")), "doc_id").where("n > 0")
+    p = byte_profile(docs.withColumn("marks", F.regexp_count("text", F.lit("[0-9][:/-]"))), extra=("repeats",), carry=("marks",)).where("n > 0")
     scores = {
         "repetitive": F.col("again4") / (n / 8),
         "hierarchical": hist_count(h, HIERARCHY) / n,
@@ -228,7 +228,8 @@ def content_scores(spark: SparkSession, d: str) -> DataFrame:
     """Shares of indicator bytes; texts of length zero have none and give no row."""
     docs = table(spark, d, "documents")
     counts = {"doc": r"[#*-](?=(?s:.))|=(?==)", "log": r"(?=[0-9]{4})", "conf": r"(?<=[A-Za-z0-9])=(?=[A-Za-z0-9])"}
-    p = byte_profile(docs).join(docs.select("doc_id", *(F.regexp_count("text", F.lit(r)).alias(k) for k, r in counts.items())), "doc_id").where("n > 0")
+    counted = docs.withColumns({k: F.regexp_count("text", F.lit(r)) for k, r in counts.items()})
+    p = byte_profile(counted, carry=tuple(counts)).where("n > 0")
     h, n = F.col("hist"), F.col("n")
     scores = {
         "text": hist_sum(h, lambda i: i.between(32, 126) | i.between(9, 13)) / n,

@@ -77,8 +77,9 @@ def crc_verified(spark: SparkSession, d: str) -> DataFrame:
         hi = (n + int((b.astype(np.int64) * np.arange(n, 0, -1)).sum())) % 65521
         return zlib.crc32(raw), (hi << 16 | lo) == zlib.adler32(raw), crc32_mpeg(raw + crc32_mpeg(raw).to_bytes(4, "big")) == 0
 
-    c = map_bytes(docs, "doc_id", "text", of, {"crc": "long", "adler32_same": "boolean", "mpeg_self": "boolean"})
-    return c.join(docs, "doc_id").select("doc_id", (F.crc32(F.col("text").cast("binary")) == F.col("crc")).alias("crc32_same"), "adler32_same", "mpeg_self")
+    named = docs.select(F.struct("doc_id", F.crc32(F.col("text").cast("binary")).alias("c")).alias("row"), "text")
+    c = map_bytes(named, "row", "text", of, {"crc": "long", "adler32_same": "boolean", "mpeg_self": "boolean"})
+    return c.select("row.doc_id", (F.col("row.c") == F.col("crc")).alias("crc32_same"), "adler32_same", "mpeg_self")
 
 
 @query("xor_fold", f"with {BYTES_SQL} select d.doc_id, coalesce(bit_xor(b), 0)::int as xor, coalesce(bit_xor(case when pos % 64 = 0 then b end), 0)::int as first_of_64 from documents d left join bytes using (doc_id) group by d.doc_id")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalyte.functions.byteview import BYTES_SQL, map_bytes, repeat_profile
+from stratalyte.functions.byteview import BYTES_SQL, byte_profile, map_bytes
 from stratalyte.plans.registry import query, table
 
 TOP = 16
@@ -37,7 +37,7 @@ select d.doc_id, round(coalesce(ratio, 0), 6) as block_ratio, least(100, coalesc
 def repetition(spark: SparkSession, d: str) -> DataFrame:
     """Share of aligned four-byte blocks that come again, and repeated pairs up to a hundred."""
     docs = table(spark, d, "documents")
-    r = repeat_profile(docs).join(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")), "doc_id")
+    r = byte_profile(docs, extra=("repeats",))
     blocks = F.greatest(F.floor(F.col("n") / 4), F.lit(0))
     return r.select("doc_id", F.round(F.coalesce(F.try_divide(F.col("blocks4"), blocks), F.lit(0.0)), 6).alias("block_ratio"), F.least(F.col("again2"), F.lit(100)).alias("pair_repeats"))
 

@@ -11,8 +11,8 @@ from stratalyte.plans.registry import query, table
 R = 6
 
 
-def _profile(spark: SparkSession, d: str) -> DataFrame:
-    return byte_profile(table(spark, d, "documents"))
+def _profile(spark: SparkSession, d: str, *extra: str) -> DataFrame:
+    return byte_profile(table(spark, d, "documents"), extra=extra)
 
 
 def entropy_columns(p: DataFrame) -> DataFrame:
@@ -50,14 +50,14 @@ select doc_id, n::bigint as n_bytes, round(h, 6) as entropy, round(h / 8, 6) as
        round(case when is_random then 0.95 when is_text then h / 8 * 0.7 when is_structured then h / 8 * 0.5 else h / 8 * 0.8 end, 6) as predicted_ratio
 from k""")
 def content_entropy(spark: SparkSession, d: str) -> DataFrame:
-    p = entropy_columns(_profile(spark, d))
+    p = entropy_columns(_profile(spark, d, "block_var"))
     kind = F.when(F.col("is_random"), "random").when(F.col("is_text"), "text").when(F.col("is_structured"), "structured").otherwise("general")
     return p.select("doc_id", F.col("n").alias("n_bytes"), F.round("h", R).alias("entropy"), F.round(F.col("h") / 8, R).alias("entropy_norm"), F.col("uniq").alias("unique_symbols"), F.round("unif", R).alias("uniformity"), kind.alias("class"), F.round("ratio", R).alias("predicted_ratio"))
 
 
 @query("entropy_variance", _ENTROPY_SQL + "select doc_id, round(v, 6) as block_variance, round(h / 8 * (1 - unif) / (1 + v), 6) as potential from k")
 def entropy_variance(spark: SparkSession, d: str) -> DataFrame:
-    p = entropy_columns(_profile(spark, d))
+    p = entropy_columns(_profile(spark, d, "block_var"))
     return p.select("doc_id", F.round("block_var", R).alias("block_variance"), F.round("potential", R).alias("potential"))
 
 
@@ -74,7 +74,7 @@ tot as (select *, sum(c) over (partition by doc_id) as t, sum(c) over (partition
 e as (select doc_id, -sum(c / t * log2(c / cx)) as h from tot group by doc_id)
 select doc_id, round(coalesce(h, 0), 6) + 0 as conditional_entropy from documents left join e using (doc_id)""")
 def conditional_entropy(spark: SparkSession, d: str) -> DataFrame:
-    return _profile(spark, d).select("doc_id", F.round("cond", R).alias("conditional_entropy"))
+    return _profile(spark, d, "cond").select("doc_id", F.round("cond", R).alias("conditional_entropy"))
 
 
 @query("local_entropy", f"""
@@ -133,7 +133,7 @@ def byte_moments(spark: SparkSession, d: str) -> DataFrame:
 def entropy_running_average(spark: SparkSession, d: str) -> DataFrame:
     """Running means of the metrics over each source's documents."""
     docs = table(spark, d, "documents")
-    p = entropy_columns(byte_profile(docs)).join(docs.select("doc_id", "source"), "doc_id")
+    p = entropy_columns(byte_profile(docs, extra=("block_var",), carry=("source",)))
     w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
     return p.select("doc_id", F.round(F.avg("h").over(w), R).alias("running_entropy"), F.round(F.avg("unif").over(w), R).alias("running_uniformity"))
 

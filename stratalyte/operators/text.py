@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -140,75 +142,59 @@ def detokenise(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: The codes of the case and space coder.
-TO_UPPER, FIRST_UPPER, NO_SPACE, ESCAPE = 1, 2, 3, 4
+NO_SPACE, TO_UPPER, FIRST_UPPER, ESCAPE = 1, 2, 3, 4
+#: A run of capitals, or of small letters with at most one capital before; all bytes over 127 are small letters.
+_CASED = re.compile(rb"( ?)(?:([A-Z]{2,})|([A-Z][a-z\x80-\xff]*)|([a-z\x80-\xff]+))|([\x01-\x04])")
+_CODED = re.compile(rb"\x04([\x00-\xff])|(\x01?)([\x02\x03]?) ([a-z\x80-\xff]*)")
 
 
 def case_space_encode(data: bytes) -> bytes:
-    """Words in lower case, each after a space; marks say where it was not so."""
-    out = bytearray()
-    upper = lambda c: 65 <= c <= 90
-    lower = lambda c: 97 <= c <= 122 or c >= 128
-    i, n = 0, len(data)
-    while i < n:
-        c = data[i]
-        if not (upper(c) or lower(c)):
-            if TO_UPPER <= c <= ESCAPE:
-                out.append(ESCAPE)
-            out.append(c)
-            i += 1
-            continue
-        all_upper = upper(c) and i + 1 < n and upper(data[i + 1])
-        same = upper if all_upper else lower
-        j = i + 1
-        while j < n and same(data[j]):
-            j += 1
-        if out[-1:] == b" " and not (len(out) > 1 and out[-2] == ESCAPE):
-            out.pop()
-        else:
-            out.append(NO_SPACE)
-        if upper(c):
-            out.append(TO_UPPER if all_upper else FIRST_UPPER)
-        out += b" " + data[i:j].lower()
-        i = j
-    return bytes(out)
+    """Each word in lower case after a space; a code before the space says that none was there, or that the word or its first letter was upper case. Codes in the data are escaped."""
+
+    def coded(m: re.Match) -> bytes:
+        space, upper, first, lower, code = m.groups()
+        if code:
+            return b"\x04" + code
+        return (b"" if space else b"\x01") + (b"\x02" if upper else b"\x03" if first else b"") + b" " + (upper or first or lower).lower()
+
+    return _CASED.sub(coded, data)
 
 
 def case_space_decode(data: bytes) -> bytes:
-    out = bytearray()
-    mark, active, keep, escaped = 0, 0, True, False
-    for c in data:
-        if escaped:
-            escaped = False
-            out.append(c)
-        elif c == ESCAPE:
-            escaped = True
-        elif c == NO_SPACE:
-            keep = False
-        elif c in (TO_UPPER, FIRST_UPPER):
-            mark = c
-        elif c == 32:
-            active, mark = mark, 0
-            if keep:
-                out.append(c)
-            keep = True
-        else:
-            out.append(c - 32 if active and 97 <= c <= 122 else c)
-            if active == FIRST_UPPER:
-                active = 0
-            keep = True
-    return bytes(out)
-
-
-@query("case_space_roundtrip", "select doc_id, octet_length(encode(text))::bigint as size, true as ok from documents")
+    def plain(m: re.Match) -> bytes:
+        code, joined, case, word = m.groups()
+        if code is not None:
+            return code
+        return (b"" if joined else b" ") + (word.upper() if case == b"\x02" else word[:1].upper() + word[1:] if case else word)
+
+    return _CODED.sub(plain, data)
+
+
+#: DuckDB: a mark (code point 0xE000) before each word, then the codes that its spaces and capitals ask for.
+_SMALL = "[a-z\\x{80}-\\x{10FFFF}]"
+_CASE_SPACE_SQL = f"""
+with escaped as (select doc_id, text, regexp_replace(text, '([\\x01-\\x04])', chr(4) || '\\1', 'g') as t from documents),
+marked as (select doc_id, text, regexp_replace(t, '([A-Z]{{2,}}|[A-Z]{_SMALL}*|{_SMALL}+)', chr(57344) || '\\1', 'g') as t from escaped),
+spaced as (select doc_id, text, replace(replace(replace(t, ' ' || chr(57344), chr(57345)), chr(57344), chr(1) || chr(57345)), chr(57345), chr(57344)) as t from marked),
+cased as (select doc_id, text, regexp_replace(regexp_replace(t, chr(57344) || '([A-Z][A-Z])', chr(2) || ' \\1', 'g'), chr(57344) || '([A-Z])', chr(3) || ' \\1', 'g') as t from spaced),
+coded as (select doc_id, text, translate(replace(t, chr(57344), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from cased)
+select doc_id, coalesce(octet_length(encode(text)), 0)::bigint as size, coalesce(octet_length(encode(t)), 0)::bigint as coded_size, md5(coalesce(t, '')) as coded_md5, md5(coalesce(text, '')) as decoded_md5 from coded"""
+
+
+@query("case_space_roundtrip", _CASE_SPACE_SQL)
 def case_space_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Encode and decode every whole text; the state machine is sequential, so it runs in Python, a text at a time."""
+    """Each whole text encoded, and decoded from that: sizes and md5 of both."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        md5 = lambda x: hashlib.md5(x, usedforsecurity=False).hexdigest()
         for b in batches:
             raw = [(t.as_py() or "").encode() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(len, raw)), pa.int64()), pa.array([case_space_decode(case_space_encode(x)) == x for x in raw])], ["doc_id", "size", "ok"])
+            coded = [case_space_encode(x) for x in raw]
+            cols = [pa.array(list(map(len, x)), pa.int64()) for x in (raw, coded)] + [pa.array(list(map(md5, x)), pa.string()) for x in (coded, map(case_space_decode, coded))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "size", "coded_size", "coded_md5", "decoded_md5"])
+
+    return table(spark, d, "documents").select("doc_id", "text").mapInArrow(of, "doc_id long, size long, coded_size long, coded_md5 string, decoded_md5 string")
 
-    return table(spark, d, "documents").select("doc_id", "text").mapInArrow(of, "doc_id long, size long, ok boolean")
 
 
 @query("utf8", "select doc_id, length(text)::bigint as code_points, octet_length(encode(text))::bigint as bytes, true as valid, list_max(list_transform(string_split(text, ''), lambda c: unicode(c)))::int as highest, true as same from documents")

@@ -25,9 +25,16 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, also where lambdas inside use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(a: Column) -> Column:
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / total(e))
+    def shares(e: Column) -> Column:
+        return let(total(e), lambda s: F.transform(e, lambda x: x / s))
+
+    return let(a, lambda v: let(F.array_max(v), lambda m: let(F.transform(v, lambda x: F.exp(x - m)), shares)))
 
 
 #: Element-wise functions of x (from a) and y (from b): Column form and the same in SQL.
@@ -111,13 +118,15 @@ def vector_shapes(spark: SparkSession, d: str) -> DataFrame:
 select vec_id, i, round((x - mean) / sqrt(var + 1e-5), 5) + 0 as layer, round(x / rms, 5) + 0 as rms, round((x - list_avg(a[i // 16 * 16 + 1:i // 16 * 16 + 16])) / sqrt(list_var_pop(a[i // 16 * 16 + 1:i // 16 * 16 + 16]) + 1e-5), 5) + 0 as grouped from r""")
 def vector_norms(spark: SparkSession, d: str) -> DataFrame:
     """Layer, root-mean-square and group (of 16) normalisation."""
-    def centred(x: Column, part: Column) -> Column:
+    def moments(part: Column) -> Column:
         mean = total(part) / F.size(part)
-        return (x - mean) / F.sqrt(dot(part, part) / F.size(part) - mean * mean + 1e-5)
+        return F.struct(mean.alias("mean"), F.sqrt(dot(part, part) / F.size(part) - mean * mean + 1e-5).alias("sd"))
 
     a = F.col("a")
-    rms = F.sqrt(dot(a, a) / F.size(a) + 1e-5)
-    rows = F.transform(a, lambda x, i: F.struct(i.alias("i"), centred(x, a).alias("layer"), (x / rms).alias("rms"), centred(x, F.slice(a, F.floor(i / 16).cast("int") * 16 + 1, F.lit(16))).alias("grouped")))
+    centred = lambda x, m: (x - m["mean"]) / m["sd"]
+    groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / 16).cast("int") - 1), lambda g: moments(F.slice(a, g * 16 + 1, F.lit(16))))
+    known = F.struct(moments(a).alias("all"), F.sqrt(dot(a, a) / F.size(a) + 1e-5).alias("rms"), groups.alias("groups"))
+    rows = let(known, lambda k: F.transform(a, lambda x, i: F.struct(i.alias("i"), centred(x, k["all"]).alias("layer"), (x / k["rms"]).alias("rms"), centred(x, F.get(k["groups"], F.floor(i / 16).cast("int"))).alias("grouped"))))
     r = vectors(spark, d).select("vec_id", F.inline(rows))
     return r.select("vec_id", "i", *((F.round(c, 5) + 0.0).alias(c) for c in ("layer", "rms", "grouped")))
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,14 +13,47 @@ from stratalyte.functions import byteview
 from stratalyte.operators import codec, dictionary, integrity, patterns, schedules, text, windows
 
 
+def profile_of(t):
+    flat, starts = byteview.text_bytes(pa.array([t], pa.string()))
+    p = {k: v[0] for k, v in byteview.profiles(flat, starts).items()}
+    h = np.array([byteview.entropy_of(p["hist"])])
+    return p | {"cond": byteview.conditional_entropy(flat), "block_var": byteview.block_variances(flat, starts, h)[0]}
+
+
+def test_profiles_are_those_of_single_texts():
+    texts = ["", None, "a", "aa bb", "x" * 63, "xy" * 64, "é" * 200, "The quick brown fox. " * 40, "z"]
+    flat, starts = byteview.text_bytes(pa.array(["skipped", *texts], pa.string()).slice(1))
+    got = byteview.profiles(flat, starts)
+    h = np.array([byteview.entropy_of(x) for x in got["hist"]])
+    var = byteview.block_variances(flat, starts, h)
+    for k, t in enumerate(texts):
+        want = profile_of(t)
+        assert all((got[x][k] == want[x]).all() for x in got) and abs(var[k] - want["block_var"]) < 1e-12
+        b = (t or "").encode()
+        blocks = [byteview.entropy_of(np.bincount(np.frombuffer(b[max(0, m - 64) : m + 64], np.uint8), minlength=256)) for m in range(0, len(b), 64)]
+        assert abs(var[k] - (np.mean([(x - h[k]) ** 2 for x in blocks]) if len(blocks) > 1 else 0)) < 1e-9
+        assert (want["sum"], want["sumsq"], want["lagged"]) == (sum(b), sum(x * x for x in b), sum(x * y for x, y in zip(b, b[1:])))
+        assert want["same"] == sum(x == y for x, y in zip(b, b[1:])) and want["n"] == len(b)
+
+
+def test_rows_with_repeated_or_no_ids_stay(spark, tmp_path):
+    from stratalyte.plans.registry import QUERIES, load
+
+    load()
+    rows = [(1, "<a>one</a> two 1:2", "s"), (1, "{three: 4}", "s"), (None, "five six seven", "s"), (2, None, "s"), (2, None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, n in {"content_type": 5, "repetition": 5, "crc_verified": 5, "entropy_running_average": 5, "file_pattern": 3, "content_scores": 3}.items():
+        assert QUERIES[name](spark, str(tmp_path)).count() == n, name
+
+
 def test_entropy_of_sixteen_equal_bytes():
-    p = byteview.profile("".join(chr(i % 16) for i in range(1024)))
+    p = profile_of("".join(chr(i % 16) for i in range(1024)))
     assert p["n"] == 1024 and byteview.entropy_of(p["hist"]) == 4.0 and p["same"] == 0
 
 
 def test_entropy_of_nothing():
-    p = byteview.profile(None)
-    assert p["n"] == 0 and p["cond"] == 0.0 and p["block_var"] == 0.0 and byteview.repeats("") == (0, 0, 0)
+    p = profile_of(None)
+    assert p["n"] == 0 and p["cond"] == 0.0 and p["block_var"] == 0.0 and byteview.repeats(np.zeros(0, np.uint8)) == (0, 0, 0)
 
 
 def test_checksums():
@@ -60,6 +94,12 @@ def test_si_format(spark):
     assert {x["v"]: x["s"] for x in r} == cases
 
 
+def test_case_space_codes():
+    assert text.case_space_encode(b"Hello WORLD the aBc\x02") == b"\x01\x03 hello\x02 world the a\x01\x03 bc\x04\x02"
+    assert text.case_space_encode(b"x  1y") == b"\x01 x  1\x01 y"
+    assert text.case_space_decode(b"\x01\x02 abc\x01\x03 de f\x04\x01") == b"ABCDe f\x01"
+
+
 @given(st.binary(max_size=300))
 @settings(max_examples=200, deadline=None)
 def test_case_space_roundtrip(data):
