@@ -44,7 +44,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stratalyte_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete the files of frames that `materialise` gave, once all that is read from them has been written."""
+    for df in written:
+        if path := getattr(df, "_stratalyte_path", None):
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context.hadoopConfiguration()).delete(folder, True)
 
 
 def release() -> None:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, tidy, words
+from .common import discard, fresh, materialise, tidy, words
 
 SEED = 42
 #: Lowest bit and width of each block.
@@ -222,8 +222,10 @@ def components(edges: DataFrame) -> DataFrame:
             nxt = nxt.join(hooks, nxt["label"] == hooks["hi"], "left").select("node", F.coalesce("lo", "label").alias("label"))
         nxt = materialise(nxt, "labels")
         changed = nxt.toDF("node", "new").join(labels, "node").where("new <> label").limit(1).count()
+        discard(labels, hooks)
         labels = nxt
         if not changed:
+            discard(edges)
             return labels
 
 
