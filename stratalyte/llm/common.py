@@ -79,6 +79,13 @@ def tidy(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, for functions that make many values of a row."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z only; other letters stay."""
     return F.translate(c, UPPER, LOWER)

@@ -39,7 +39,7 @@ DRIFT = 16
 #: Windows of the benchmark held by one task; larger benchmarks are matched in blocks of items.
 BLOCK_WINDOWS = 2_000_000
 #: Bytes of texts that are read at once.
-GROUP_BYTES = 6_000_000
+GROUP_BYTES = 3_000_000
 #: Tokens of a text that are aligned at once.
 STRIP = 100_000
 #: Units of measure, currency and time.

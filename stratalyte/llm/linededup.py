@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise
+from .common import discard, fresh, materialise
 
 LONG_WORDS = 50
 RESIDUES = 4
@@ -124,6 +124,7 @@ def dedup_lines(docs: DataFrame, *, long_words: int = LONG_WORDS, residues: int
     gone = copies.withColumn("first", first).where("d <> owner or k > first")
     marks = materialise(gone.groupBy("d", "t").agg(F.collect_set("k").alias("gone")), "marks")
     held = marks.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("places")).first()
+    discard(pieces, repeated)
     if held["rows"] <= BROADCAST_ROWS and held["places"] <= 4 * BROADCAST_ROWS:
         marks = F.broadcast(marks)
 
