@@ -6,7 +6,9 @@ themselves are Column expressions. It moves no row between partitions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,10 @@ def conditional_entropy(b: np.ndarray, lag: int = LAG) -> float:
 
 
 _C_LOG_C = np.array([0.0, *(c * np.log2(c) for c in range(1, 2 * BLOCK + 1))])
-#: Bytes that are looked at together.
+#: Bytes that are looked at together: what is made of a byte (row, histogram slot, product) takes some 100 times as much memory while a piece is worked on.
 CHUNK = 1 << 20
+#: Texts that are looked at together: a histogram of 256 longs each.
+TEXTS = 1000
 
 
 def block_variances(flat: np.ndarray, starts: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -140,24 +144,52 @@ def byte_profile(df: DataFrame, key: str = "doc_id", text: str = "text", *, extr
                 made = [hist if x == "hist" else pa.array(cols[x]).cast(types.get(x, pa.int64())) for x in names[len(kept) :]]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *made], names)
 
-    return df.select(*kept, text).mapInArrow(of, schema)
+    return df.select(*kept, text).mapInArrow(tidy(of), schema)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts (null: none) one after another, and where each begins, with the end of the last."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    """The bytes of all texts or binaries (null: none) one after another, and where each begins, with the end of the last."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
     starts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     flat = np.frombuffer(data, np.uint8)[starts[0] : starts[-1]] if data is not None and starts[-1] > starts[0] else np.zeros(0, np.uint8)
     return flat, starts - starts[0]
 
 
-def pieces(b: pa.RecordBatch, size: int = 16 * CHUNK) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about `size` bytes of its last column."""
+def release() -> None:
+    """Give memory that is free back to the system: Python workers outlive their tasks, and keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that releases memory after each batch it gets and when its task ends."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b
+            del b
+            release()
+
+    @functools.wraps(of)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from of(each(batches))
+        finally:
+            release()
+
+    return tidied
+
+
+def pieces(b: pa.RecordBatch, size: int = CHUNK, rows: int = TEXTS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `size` bytes of its last column, and at most `rows` rows; a longer text is a slice of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     lo = 0
     while lo < b.num_rows:
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        hi = min(hi, lo + rows)
         yield b.slice(lo, hi - lo)
         lo = hi
 
@@ -198,8 +230,9 @@ def map_bytes(df: DataFrame, key: str, text: str, fn, fields: dict[str, str]) ->
     kinds = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "string": pa.string(), "boolean": pa.bool_()}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [fn(np.frombuffer((t.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)) for t in b.column(1)]
+        for b in (x for whole in batches for x in pieces(whole)):
+            flat, starts = text_bytes(b.column(1))
+            rows = [fn(flat[x:y]) for x, y in zip(starts.tolist(), starts[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(fields.values()))], [key, *fields])
 
-    return df.select(key, text).mapInArrow(of, f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in fields.items()))
+    return df.select(key, text).mapInArrow(tidy(of), f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in fields.items()))

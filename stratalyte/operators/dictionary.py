@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalyte.functions.byteview import BYTES_SQL, map_bytes
+from stratalyte.functions.byteview import BYTES_SQL, map_bytes, pieces, text_bytes, tidy
 from stratalyte.plans.registry import query, table
 
 WORD_COST_BITS = 7
@@ -70,8 +70,8 @@ def pair_counts(symbols: DataFrame) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = batch.column(0)
-            v = s.values.to_numpy().astype(np.int64)
-            ends = s.offsets.to_numpy()[1:-1] - 1
+            v = s.flatten().to_numpy().astype(np.int64)
+            ends = s.offsets.to_numpy()[1:-1] - s.offsets[0].as_py() - 1
             ok = np.ones(max(0, len(v) - 1), bool)
             ok[ends[(ends >= 0) & (ends < len(ok))]] = False
             code, n = np.unique((v[:-1] << 32 | v[1:])[ok], return_counts=True) if len(v) > 1 else (v[:0], v[:0])
@@ -81,6 +81,27 @@ def pair_counts(symbols: DataFrame) -> DataFrame:
     return got.select(F.shiftright("code", 32).cast("int").alias("a"), F.col("code").bitwiseAND(0xFFFFFFFF).cast("int").alias("b"), "n")
 
 
+def byte_counts(df: DataFrame, text: str = "text", *, pairs: bool = False) -> DataFrame:
+    """symbol, n (or a, b, n): how often each byte (pair of neighbours) stands in all texts. A task sums up all its texts in one array and gives at most 256 (65,536) rows."""
+    width = 1 << 16 if pairs else 1 << 8
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, np.int64)
+        for b in (x for whole in batches for x in pieces(whole)):
+            v, starts = text_bytes(b.column(0))
+            if pairs and len(v):
+                ok = np.ones(len(v), bool)
+                ok[starts[1:][starts[1:] > 0] - 1] = False  # the last byte of a text has no neighbour
+                v = (v[:-1].astype(np.int64) << 8 | v[1:])[ok[:-1]]
+            total += np.bincount(v, minlength=width)
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
+
+    got = df.select(text).mapInArrow(tidy(of), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    low = F.col("code").bitwiseAND(255).cast("int")
+    return got.select(F.shiftright("code", 8).cast("int").alias("a"), low.alias("b"), "n") if pairs else got.select(low.alias("symbol"), "n")
+
+
 def symbol_counts(symbols: DataFrame) -> DataFrame:
     return symbols.select(F.explode("s").alias("symbol")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
@@ -123,8 +144,7 @@ def build(docs: DataFrame, *, words: int, min_freq: int = 4) -> Dictionary:
 
 @query("pair_counts", f"with {BYTES_SQL}, n as (select doc_id, b as a, lead(b) over (partition by doc_id order by pos) as b from bytes) select a, b, count(*)::bigint as n from n where b is not null group by 1, 2")
 def pair_count_query(spark: SparkSession, d: str) -> DataFrame:
-    s = map_bytes(table(spark, d, "documents"), "doc_id", "text", lambda b: (b.astype(np.int32),), {"s": "array<int>"})
-    return pair_counts(s)
+    return byte_counts(table(spark, d, "documents"), pairs=True)
 
 
 _SYMBOLS = f"with {BYTES_SQL}, f as (select b, sum(c) as n from hist group by b), t as (select sum(n) as t from f)"
@@ -133,8 +153,7 @@ _SYMBOLS = f"with {BYTES_SQL}, f as (select b, sum(c) as n from hist group by b)
 @query("symbol_frequencies", _SYMBOLS + " select b as symbol, n::bigint as n, round(log2(t) - log2(n), 6) as bits, round(sum(n) over (order by n desc, b) / t * 100, 6)::double as cumulative, (row_number() over (order by n desc, b))::int as rank from f, t")
 def symbol_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """At most 256 rows: frequency, bit cost, cumulative percent, in the sorted dictionary's order."""
-    s = map_bytes(table(spark, d, "documents"), "doc_id", "text", lambda b: (np.bincount(b, minlength=256).astype(np.int64),), {"h": "array<long>"})
-    f = s.select(F.posexplode("h").alias("symbol", "c")).where("c > 0").groupBy("symbol").agg(F.sum("c").alias("n"))
+    f = byte_counts(table(spark, d, "documents"))
     w = Window.orderBy(F.desc("n"), "symbol")
     total = F.sum("n").over(Window.partitionBy())
     return f.select("symbol", "n", F.round(F.log2(total) - F.log2("n"), 6).alias("bits"), F.round(F.sum("n").over(w) / total * 100, 6).alias("cumulative"), F.row_number().over(w).alias("rank"))
@@ -150,8 +169,8 @@ def corpus_entropy_bits(spark: SparkSession, d: str) -> DataFrame:
 @query("pair_gains", _SYMBOLS + """, nx as (select doc_id, b as a, lead(b) over (partition by doc_id order by pos) as b from bytes), p as (select a, b, count(*) as n from nx where b is not null group by 1, 2)
 select p.a, p.b, p.n::bigint as n, case when p.n <= 1 then -1 else round(p.n * (log2(t) - log2(fa.n) + log2(t) - log2(fb.n) - (log2(t) - log2(p.n))) - 7, 2) + 0 end::double as gain from p join f fa on fa.b = p.a join f fb on fb.b = p.b, t""")
 def pair_gains(spark: SparkSession, d: str) -> DataFrame:
-    s = map_bytes(table(spark, d, "documents"), "doc_id", "text", lambda b: (b.astype(np.int32),), {"s": "array<int>"})
-    return gains(pair_counts(s), symbol_counts(s)).select("a", "b", "n", (F.round("gain", 2) + 0.0).alias("gain"))
+    docs = table(spark, d, "documents")
+    return gains(byte_counts(docs, pairs=True), byte_counts(docs)).select("a", "b", "n", (F.round("gain", 2) + 0.0).alias("gain"))
 
 
 @query("dictionary_roundtrip", "select item_id, octet_length(encode(text))::bigint as size, true as ok from benchmark")
