@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalyte.functions.byteview import BYTES_SQL, byte_profile, hist_entropy, hist_unique
+from stratalyte.functions.byteview import BYTES_SQL, byte_profile, hist_entropy, hist_unique, pieces, text_bytes, tidy
 from stratalyte.plans.registry import query, table
 
 R = 6
@@ -83,18 +87,23 @@ with {BYTES_SQL}, l as (
 e as (select doc_id, -sum(c / t * log2(c / t)) as h from (select *, sum(c) over (partition by doc_id) as t from l) q group by doc_id)
 select doc_id, round(coalesce(h, 0), 6) + 0 as local_entropy from documents left join e using (doc_id)""")
 def local_entropy(spark: SparkSession, d: str) -> DataFrame:
-    """Entropy of the 64 bytes around the middle; only those bytes become rows."""
-    hexed = table(spark, d, "documents").select("doc_id", F.hex(F.coalesce("text", F.lit("")).cast("binary")).alias("x"))
-    mid = F.floor(F.length("x") / 4)
-    near = F.substring("x", (F.greatest(mid - 32, F.lit(0)) * 2 + 1).cast("int"), ((mid + 32 - F.greatest(mid - 32, F.lit(0))) * 2).cast("int"))
-    return hexed.select("doc_id", F.round(_array_entropy(F.regexp_extract_all(near, F.lit("(..)"), 1)), R).alias("local_entropy"))
-
-
-def _array_entropy(a: Column) -> Column:
-    """Entropy of the values of a short array."""
-    n = F.size(a)
-    shares = F.transform(F.array_distinct(a), lambda v: F.size(F.filter(a, lambda x: x == v)) / n)
-    return F.coalesce(F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p)), F.lit(0.0))
+    """Entropy of the 64 bytes around the middle; only those bytes leave the table, and their counts are made for many texts at once."""
+    raw = F.col("text").cast("binary")
+    mid = F.floor(F.octet_length("text") / 2)
+    lo = F.greatest(mid - 32, F.lit(0))
+    near = F.substring(raw, (lo + 1).cast("int"), (mid + 32 - lo).cast("int"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in pieces(whole)):
+            flat, starts = text_bytes(b.column(1))
+            n = np.diff(starts)
+            h = np.bincount(np.repeat(np.arange(len(n)), n) * 256 + flat, minlength=len(n) * 256).reshape(-1, 256)
+            p = h / np.maximum(n, 1)[:, None]
+            e = -(p * np.log2(np.where(h > 0, p, 1.0))).sum(1) + 0.0
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(e)], ["doc_id", "e"])
+
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", near.alias("near")).mapInArrow(tidy(of), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, e double").select("doc_id", F.round("e", R).alias("local_entropy"))
 
 
 def moments(p: DataFrame) -> DataFrame:
