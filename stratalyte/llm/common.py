@@ -32,18 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of small Arrow batches. An executor holds a batch several times outside its heap, and a Python worker two of them; Spark's own limits are 10,000 rows and 64 MB.
+SMALL_BATCH = 4 << 20
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back: later plans start from the files, which outlive executors. Its shuffle files go as soon as it is written."""
+def materialise(df: DataFrame, name: str, *, small: bool = False) -> DataFrame:
+    """Write `df` once as Parquet in the shared folder and read it back: later plans start from the files, which outlive executors. Its shuffle files go as soon as it is written. small: its Python steps get small batches."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
+    before = {_CLEANUP: spark.conf.get(_CLEANUP, "false")} | ({_BATCH: spark.conf.get(_BATCH)} if small else {})
     spark.conf.set(_CLEANUP, "true")
+    if small:
+        spark.conf.set(_BATCH, str(SMALL_BATCH))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._stratalyte_path = path
     return out

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ragged, tidy
+from .common import fresh, materialise, ragged, tidy
 
 WIDTH = 5
 SHARE = 0.8
@@ -39,7 +39,7 @@ DRIFT = 16
 #: Windows of the benchmark held by one task; larger benchmarks are matched in blocks of items.
 BLOCK_WINDOWS = 2_000_000
 #: Bytes of texts that are read at once.
-GROUP_BYTES = 3_000_000
+GROUP_BYTES = 1_000_000
 #: Tokens of a text that are aligned at once.
 STRIP = 100_000
 #: Units of measure, currency and time.
@@ -338,9 +338,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the rows in which an item is found; rows with a null doc_id stay."""
-    from .common import fresh
-
+    """`docs` without the rows in which an item is found; rows with a null doc_id stay. The ids of those are written first: while texts are searched, none are sorted or shuffled."""
     gone = fresh(docs, "_leaked_id")
-    leaks = find_leaks(docs, benchmark).select("doc_id").distinct().toDF(gone)
+    leaks = materialise(find_leaks(docs, benchmark).select("doc_id").distinct().toDF(gone), "leaks", small=True)
     return docs.join(leaks, F.col("doc_id") == F.col(gone), "left_anti")

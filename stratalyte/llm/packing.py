@@ -170,20 +170,23 @@ def cut(docs: DataFrame, *, length: int, end_id: int, tokenizer: str | None = No
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
-            doc = b.column("doc_id")
-            for lo, ids, at in enc.encode_column(b.column("text"), end_id):
-                size = np.diff(at)
-                n = -(-size // length)
-                row, start = np.repeat(np.arange(len(size)), n), ragged(n) * length
-                first = at[:-1][row] + start
-                taken = np.minimum(size[row] - start, length)
-                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
-                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(first.tolist(), (first + taken).tolist())]
-                cols = [doc.take(pa.array(lo + row)), pa.array(start), pa.array(taken), pa.array(crc, pa.int64()), pa.array(size[row])]
-                if with_ids:
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.append(first, at[-1]).astype(np.int32)), pa.array(ids.view(np.int32))))
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+        try:
+            for b in batches:
+                doc = b.column("doc_id")
+                for lo, ids, at in enc.encode_column(b.column("text"), end_id):
+                    size = np.diff(at)
+                    n = -(-size // length)
+                    row, start = np.repeat(np.arange(len(size)), n), ragged(n) * length
+                    first = at[:-1][row] + start
+                    taken = np.minimum(size[row] - start, length)
+                    raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                    crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(first.tolist(), (first + taken).tolist())]
+                    cols = [doc.take(pa.array(lo + row)), pa.array(start), pa.array(taken), pa.array(crc, pa.int64()), pa.array(size[row])]
+                    if with_ids:
+                        cols.append(pa.ListArray.from_arrays(pa.array(np.append(first, at[-1]).astype(np.int32)), pa.array(ids.view(np.int32))))
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+        finally:
+            enc.forget()  # the worker goes on to other stages
 
     thin = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return thin.mapInArrow(tidy(of), ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names))

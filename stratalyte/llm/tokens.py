@@ -60,6 +60,10 @@ class ChunkEncoder:
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
         self.again = np.zeros(1 << 16, bool)  # entries that have been looked up since
 
+    def forget(self) -> None:
+        """Let go of all words (some 100 MB when many are known); the vocabulary stays."""
+        self._clear()
+
     def _prune(self) -> None:
         """Keep the words that have come more than once."""
         kept = {k: v for k, v in self.base.items() if self.again[v]}
@@ -176,7 +180,7 @@ class ChunkEncoder:
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One for each Python worker and vocabulary."""
+    """One for each Python worker and vocabulary. It stays in the worker through all later steps: see `forget`."""
     if path not in _KEPT:
         _KEPT[path] = ChunkEncoder(path)
     return _KEPT[path]
