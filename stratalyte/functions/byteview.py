@@ -37,9 +37,12 @@ def conditional_entropy(b: np.ndarray, lag: int = LAG) -> float:
 
 _C_LOG_C = np.array([0.0, *(c * np.log2(c) for c in range(1, 2 * BLOCK + 1))])
 #: Bytes that are looked at together: what is made of a byte (row, histogram slot, product) takes some 100 times as much memory while a piece is worked on.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Texts that are looked at together: a histogram of 256 longs each.
 TEXTS = 1000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch that a Python worker is given: it holds two of them. Spark's own limits are 10,000 rows and 64 MB.
+BATCH = 4 << 20
 
 
 def block_variances(flat: np.ndarray, starts: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -144,7 +147,7 @@ def byte_profile(df: DataFrame, key: str = "doc_id", text: str = "text", *, extr
                 made = [hist if x == "hist" else pa.array(cols[x]).cast(types.get(x, pa.int64())) for x in names[len(kept) :]]
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *made], names)
 
-    return df.select(*kept, text).mapInArrow(tidy(of), schema)
+    return in_batches(df.select(*kept, text), of, schema)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +186,14 @@ def tidy(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
+def in_batches(df: DataFrame, of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(tidy(of), schema) in batches of about BATCH bytes, so that memory does not follow the partition. Plans are run after this returns, so the limit stays set in the session, unless it has one of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH) == "67108864b":
+        conf.set(_BATCH, str(BATCH))
+    return df.mapInArrow(tidy(of), schema)
+
+
 def pieces(b: pa.RecordBatch, size: int = CHUNK, rows: int = TEXTS) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about `size` bytes of its last column, and at most `rows` rows; a longer text is a slice of its own."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(b.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -235,4 +246,4 @@ def map_bytes(df: DataFrame, key: str, text: str, fn, fields: dict[str, str]) ->
             rows = [fn(flat[x:y]) for x, y in zip(starts.tolist(), starts[1:].tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], kinds[k]) for i, k in enumerate(fields.values()))], [key, *fields])
 
-    return df.select(key, text).mapInArrow(tidy(of), f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in fields.items()))
+    return in_batches(df.select(key, text), of, f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in fields.items()))

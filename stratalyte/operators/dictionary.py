@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalyte.functions.byteview import BYTES_SQL, map_bytes, pieces, text_bytes, tidy
+from stratalyte.functions.byteview import BYTES_SQL, in_batches, map_bytes, pieces, text_bytes
 from stratalyte.plans.registry import query, table
 
 WORD_COST_BITS = 7
@@ -97,7 +97,7 @@ def byte_counts(df: DataFrame, text: str = "text", *, pairs: bool = False) -> Da
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
 
-    got = df.select(text).mapInArrow(tidy(of), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    got = in_batches(df.select(text), of, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     low = F.col("code").bitwiseAND(255).cast("int")
     return got.select(F.shiftright("code", 8).cast("int").alias("a"), low.alias("b"), "n") if pairs else got.select(low.alias("symbol"), "n")
 

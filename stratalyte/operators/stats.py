@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratalyte.functions.byteview import BYTES_SQL, byte_profile, hist_entropy, hist_unique, pieces, text_bytes, tidy
+from stratalyte.functions.byteview import BYTES_SQL, byte_profile, hist_entropy, hist_unique, in_batches, pieces, text_bytes
 from stratalyte.plans.registry import query, table
 
 R = 6
@@ -103,7 +103,7 @@ def local_entropy(spark: SparkSession, d: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(e)], ["doc_id", "e"])
 
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", near.alias("near")).mapInArrow(tidy(of), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, e double").select("doc_id", F.round("e", R).alias("local_entropy"))
+    return in_batches(docs.select("doc_id", near.alias("near")), of, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, e double").select("doc_id", F.round("e", R).alias("local_entropy"))
 
 
 def moments(p: DataFrame) -> DataFrame:
