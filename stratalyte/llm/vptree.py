@@ -128,7 +128,7 @@ class VPTree:
             if hi - lo > k and len(fresh := np.flatnonzero(np.isneginf(least))):
                 others = np.where(v.ids[lo:hi] == q.ids[at[fresh]][:, None], -np.inf, sim[fresh])
                 least[fresh] = np.partition(others, -k, axis=1)[:, -k]
-            i, j = np.nonzero(sim >= (least - 2 * v.off)[:, None])
+            i, j = np.divmod(np.flatnonzero(sim >= (least - 2 * v.off)[:, None]), hi - lo)
             i, j = at[i], j + lo
             other = v.ids[j] != q.ids[i]
             i, j = i[other], j[other]
