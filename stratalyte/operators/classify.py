@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalyte.functions.byteview import BYTES_SQL, byte_profile, hist_count, hist_entropy, hist_sum, hist_unique
+from stratalyte.functions.sums import nearest, running_sum, whole_sum
 from stratalyte.operators.stats import MOMENTS_SQL, moments
 from stratalyte.operators.text import CLASSES_SQL, CODE_MARKS, character_classes
 from stratalyte.plans.registry import query, table
@@ -334,12 +335,12 @@ def access_pattern(spark: SparkSession, d: str) -> DataFrame:
 with s as (select user_id, event_type, sum(value) as t from events group by 1, 2), r as (select *, sum(t) over (partition by user_id) as total, row_number() over (partition by user_id order by t desc, event_type) as k from s)
 select user_id, max(case when k = 1 then event_type end) as primary_stage, max(case when k = 2 then event_type end) as secondary_stage, round(max(case when k = 1 then t / nullif(total, 0) end), 6) as share from r group by user_id""")
 def bottleneck(spark: SparkSession, d: str) -> DataFrame:
-    """The stages (event types) that take most of each worker's total."""
-    s = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.sum("value").alias("t"))
-    w = Window.partitionBy("user_id")
-    r = s.withColumns({"total": F.sum("t").over(w), "k": F.row_number().over(w.orderBy(F.desc("t"), "event_type"))})
+    """The stages (event types) that take most of each worker's total; sums are added up in the order of the rows, and the total by falling sums."""
+    s = running_sum(table(spark, d, "events"), ["user_id", "event_type"], "value").groupBy("user_id", "event_type").agg(whole_sum().alias("t"))
+    w = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("t"), F.asc_nulls_last("event_type"))
+    r = s.withColumns({"total": F.sum("t").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "k": F.row_number().over(w)})
     at = lambda k, c: F.max(F.when(F.col("k") == k, c))
-    return r.groupBy("user_id").agg(at(1, F.col("event_type")).alias("primary_stage"), at(2, F.col("event_type")).alias("secondary_stage"), F.round(at(1, F.try_divide(F.col("t"), F.col("total"))), 6).alias("share"))
+    return r.groupBy("user_id").agg(at(1, F.col("event_type")).alias("primary_stage"), at(2, F.col("event_type")).alias("secondary_stage"), nearest(at(1, F.try_divide(F.col("t"), F.col("total"))), 6).alias("share"))
 
 
 @query("working_set", """
