@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratalyte.functions.sums import nearest, running_sum, whole_sum
 from stratalyte.operators.vectors import dot, total, vectors
 from stratalyte.plans.registry import query, table
 
@@ -31,26 +32,22 @@ def exact_store_lookup(spark: SparkSession, d: str) -> DataFrame:
 _STORE = "s as (select user_id, event_type, count(*) as uses, max(ts) as last, (select max(ts) from events) as now, sum(value) > 1000 as persistent from events group by 1, 2), k as (select *, round((0.4 * uses / 100.0 + 0.4 * exp(-(floor(epoch(now)) - floor(epoch(last))) / 86400.0) + 0.2 * persistent::int)::double, 9) as score from s)"
 
 
-def nearest(c: Column, places: int) -> Column:
-    """Rounded as the SQL engine does, by the scaled double: a score that was rounded before often ends in a five, and its decimal digits would round up where the double lies below."""
-    return F.round(c * 10.0**places) / 10.0**places
-
-
 def store_scores(spark: SparkSession, d: str) -> DataFrame:
-    """user_id, event_type, persistent and the decayed score of use, recency and persistence."""
+    """user_id, event_type, persistent and the decayed score of use, recency and persistence; benefits are added up in the order of the rows."""
     e = table(spark, d, "events")
     now = e.agg(F.max("ts").alias("now"))  # one row
-    s = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("uses"), F.max("ts").alias("last"), (F.sum("value") > 1000).alias("persistent"))
+    s = running_sum(e, ["user_id", "event_type"], "value", "ts").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("uses"), F.max("ts").alias("last"), (whole_sum() > 1000).alias("persistent"))
     age = F.unix_timestamp("now") - F.unix_timestamp("last")
     return s.join(F.broadcast(now)).withColumn("score", nearest(F.col("uses") * 4 / 10 / 100 + 0.4 * F.exp(-age / 86400.0) + 0.2 * F.col("persistent").cast("int"), 9))
 
 
 @query("store_eviction", f"with {_STORE}, r as (select *, row_number() over (order by score, user_id, event_type) as i from k where not persistent) select user_id, event_type, round(score, 6) as score, i <= 10 as evicted, persistent from r union all select user_id, event_type, round(score, 6), false, true from k where persistent")
 def store_eviction(spark: SparkSession, d: str) -> DataFrame:
-    """The ten lowest that are not persistent go (the number is the feature)."""
-    s = store_scores(spark, d)
-    out = s.where("not persistent").orderBy("score", "user_id", "event_type").limit(10).select("user_id", "event_type", F.lit(True).alias("gone"))
-    return s.join(F.broadcast(out), ["user_id", "event_type"], "left").select("user_id", "event_type", nearest(F.col("score"), 6).alias("score"), F.coalesce("gone", F.lit(False)).alias("evicted"), "persistent")
+    """The ten lowest that are not persistent go (the number is the feature); what has no benefit known is neither."""
+    s = store_scores(spark, d).where("persistent is not null")
+    out = s.where("not persistent").orderBy(*[F.asc_nulls_last(c) for c in ("score", "user_id", "event_type")]).limit(10).select(F.col("user_id").alias("u"), F.col("event_type").alias("e"), F.lit(True).alias("gone"))
+    same = F.col("user_id").eqNullSafe(F.col("u")) & F.col("event_type").eqNullSafe(F.col("e"))
+    return s.join(F.broadcast(out), same, "left").select("user_id", "event_type", nearest(F.col("score"), 6).alias("score"), F.coalesce("gone", F.lit(False)).alias("evicted"), "persistent")
 
 
 @query("round_robin_clusters", "select vec_id, vec_id % 8 as cluster, round(list_sum(list_transform(embedding, lambda x: x::double)), 6) + 0 as total from embeddings")

@@ -68,3 +68,20 @@ def test_bottleneck_of_odd_values(spark, tmp_path):
     groups += [(None, kind, [1.0, 2.0]) for kind in ("view", None)] + [(50, "view", [1.0]), (50, "click", [-1.0])]
     got, want = same_as_sql(spark, tmp_path, "bottleneck", in_files(groups, 2))
     assert got == want
+
+
+def test_store_eviction_of_sums_at_the_bound(spark, tmp_path):
+    rng = random.Random(2)
+    groups = [(u, kind, to_the_cent(rng, 100_000, 12)) for u in range(100) for kind in ("view", "click", "error")]
+    got, want = same_as_sql(spark, tmp_path, "store_eviction", in_files(groups, 4))
+    assert {r[2] for r in want} == {"True", "False"} and got == want
+
+
+def test_store_eviction_of_odd_rows(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    odd = [[None], [nan], [inf], [inf, -inf], [-0.0], [2000.0], [1e16, 1000.0, -1e16], [None, 2.0], [1000.0]]
+    (part,) = in_files([(u, kind, odd[(3 * (u or 0) + i) % len(odd)]) for u in (*range(9), None) for i, kind in enumerate(("view", None, "click"))], 1)
+    stamps = [datetime(1960, 1, 1, 0, 0, 0, 500_000), datetime(2024, 1, 8, 23, 59, 59, 999_999), None, NOW, datetime(1969, 12, 31, 23, 59, 59, 1)]
+    part = [(i, stamps[(u or 0) % len(stamps)], u, kind, v) for i, _, u, kind, v in part]
+    got, want = same_as_sql(spark, tmp_path, "store_eviction", [part])
+    assert got == want
